@@ -744,3 +744,211 @@ def _(t):
 
     pool = t.probs().filter(F.col("component") == "third").select("league_id", "season", "match_id")
     return leave_one_out(pool).groupBy("league_id", "held_out").agg(F.count("*").alias("n"))
+
+
+# --- score model and blends --------------------------------------------------------------------
+
+from contestry.operators import ratings as own  # noqa: E402
+from contestry.operators import scenarios, score_model, stacking  # noqa: E402
+from contestry.plans.adapt import HOME_EFFECT, RHO  # noqa: E402
+
+
+def _fits(t: ContestTables) -> DataFrame:
+    return t.contests().select("league_id").distinct().select(
+        "league_id", F.lit(HOME_EFFECT).alias("home_effect"), F.lit(RHO).alias("rho")
+    )
+
+
+def _with_goals(t: ContestTables, contests: DataFrame) -> DataFrame:
+    return score_model.expected_goals(contests, t.params(), _fits(t), ["league_id"])
+
+
+@query("d19_negative_log_likelihood")
+def _(t):
+    rows = _with_goals(t, t.finished())
+    last = t.finished().groupBy("league_id").agg(F.max("date").alias("last"))
+    rows = rows.join(last, "league_id").withColumn("weight", score_model.time_weight("last", "date", 0.0019))
+    return rounded(score_model.negative_log_likelihood(rows, ["league_id"]), "nll", places=4)
+
+
+@query("h7_optimal_weights")
+def _(t):
+    out = stacking.optimal_weights(t.probs(), ["league_id"], ("score_model", "trees", "third"))
+    return rounded(out, "loss", "weight")
+
+
+@query("h8_optimal_pair_weight")
+def _(t):
+    return rounded(stacking.optimal_weight(t.probs(), ["league_id"], ("score_model", "trees")), "weight", "loss")
+
+
+@query("h8_pair_blend")
+def _(t):
+    wide = t.probs().groupBy("match_id").agg(
+        *[F.max(F.when(F.col("component") == c, F.col(p))).alias(f"{c}_{p}") for c in ("score_model", "trees") for p in C.PROBS]
+    )
+    first, second = ([f"{c}_{p}" for p in C.PROBS] for c in ("score_model", "trees"))
+    return rounded(stacking.blend_pair(wide, first, second, 0.35).select("match_id", *C.PROBS), *C.PROBS)
+
+
+@query("h9_weighted_blend")
+def _(t):
+    weights = stacking.optimal_weights(t.probs(), ["league_id"], ("score_model", "trees", "third"))
+    return rounded(stacking.blend(t.probs(), weights, ["league_id"], ["result"]), *C.PROBS)
+
+
+@query("h10_time_weights")
+def _(t):
+    last = t.finished().groupBy("league_id").agg(F.max("date").alias("last"))
+    rows = t.finished().join(last, "league_id")
+    return rounded(rows.select("match_id", score_model.time_weight("last", "date", 0.0019).alias("weight")), "weight")
+
+
+@query("h12_expected_goals")
+def _(t):
+    return rounded(_with_goals(t, t.contests()).select("match_id", "lam", "mu"), "lam", "mu")
+
+
+@query("h13_score_grid")
+def _(t):
+    return rounded(score_model.grid_rows(_with_goals(t, t.contests()), ["match_id"], 10), "p", places=8)
+
+
+@query("h14_score_outcomes")
+def _(t):
+    rows = score_model.with_outcomes(score_model.with_grid(_with_goals(t, t.contests())))
+    return rounded(rows.select("match_id", *C.PROBS), *C.PROBS)
+
+
+@query("h15_likely_score")
+def _(t):
+    rows = score_model.with_likely_score(score_model.with_grid(_with_goals(t, t.contests())))
+    return rounded(rows.select("match_id", "pred_score", "pred_score_prob"), "pred_score_prob")
+
+
+@query("h16_market_or_fallback")
+def _(t):
+    frame = t.probs().filter(F.col("component") == "score_model").join(odds.opening_probabilities(t.odds()), "match_id", "left")
+    out = odds.market_or_fallback(frame, C.PROBS)
+    return rounded(out.select("match_id", *C.PROBS), *C.PROBS)
+
+
+@query("h19_promotion_gate")
+def _(t):
+    k = F.col("match_id")
+    candidates = t.contests().select(k.alias("candidate"), (F.lit(0.9) + (k % 307) / 1000.0).alias("val_loss"))
+    return rounded(tables.promotion_gate(candidates, _registry(t), 0.10), "val_loss", "previous_loss")
+
+
+@query("h21_own_ratings")
+def _(t):
+    out = own.own_ratings(t.contests(), SETTINGS.features.rating)
+    cols = ["rating_own_home", "rating_own_away", "rating_own_home_post", "rating_own_away_post"]
+    return rounded(out.select("match_id", *cols), *cols)
+
+
+@query("h21_own_ratings_blocks")
+def _(t):
+    n = t.contests().groupBy("league_id").count().agg(F.max("count")).first()[0]
+    out = own.own_ratings(t.contests(), SETTINGS.features.rating, block_rows=max(1, n // 4))
+    cols = ["rating_own_home", "rating_own_away", "rating_own_home_post", "rating_own_away_post"]
+    return rounded(out.select("match_id", *cols), *cols)
+
+
+@query("h22_rating_log")
+def _(t):
+    log = own.rating_log(t.contests(), own.own_ratings(t.contests(), SETTINGS.features.rating))
+    return log.select("team_id", "match_id", "date", "rating", "rating_kind")
+
+
+# --- scenarios ---------------------------------------------------------------------------------
+
+N_SIMS = 200
+FROM_MATCHDAY = 20
+
+
+def _remaining(t: ContestTables) -> tuple[DataFrame, DataFrame]:
+    """(remaining contests with model columns, played contests) of the current season."""
+    rows = keys.with_label(with_matchdays(t)).filter(F.col("season") == CURRENT_SEASON)
+    past, future = keys.split_season(rows, FROM_MATCHDAY)
+    k = F.col("match_id")
+    a, b, c = 1 + k % 7, 1 + k % 5, 1 + k % 3
+    total = a + b + c
+    preds = future.withColumns({"p_home": a / total, "p_draw": b / total, "p_away": c / total})
+    gridded = score_model.with_grid(_with_goals(t, preds))
+    return score_model.conditional_differences(gridded), past
+
+
+def _season_teams(t: ContestTables) -> DataFrame:
+    rows = t.contests().filter(F.col("season") == CURRENT_SEASON)
+    return rows.select("league_id", "season", F.explode(F.array("home_id", "away_id")).alias("team_id")).distinct()
+
+
+def _ranked(t: ContestTables) -> DataFrame:
+    remaining, played = _remaining(t)
+    drawn = scenarios.scenario_tables(
+        scenarios.remaining_table(remaining), played.filter(F.col("result").isNotNull()), _season_teams(t), N_SIMS
+    )
+    return scenarios.ranked_scenarios(drawn)
+
+
+@query("i1_margin_distribution")
+def _(t):
+    remaining, _played = _remaining(t)
+    long = remaining.select("match_id", F.posexplode(F.arrays_zip("home_margin", "away_margin")).alias("g", "m"))
+    out = long.select("match_id", (F.col("g") + 1).alias("margin"), F.col("m.home_margin").alias("p_home_margin"), F.col("m.away_margin").alias("p_away_margin"))
+    return rounded(out, "p_home_margin", "p_away_margin", places=8)
+
+
+@query("i2_remaining_table")
+def _(t):
+    table = scenarios.remaining_table(_remaining(t)[0])
+    long = table.select("match_id", "p_home", "p_draw", "p_away", F.posexplode(F.arrays_zip("home_cdf", "away_cdf")).alias("g", "m"))
+    out = long.select("match_id", *C.PROBS, (F.col("g") + 1).alias("margin"), F.col("m.home_cdf").alias("home_cdf"), F.col("m.away_cdf").alias("away_cdf"))
+    return rounded(out, *C.PROBS, "home_cdf", "away_cdf")
+
+
+@query("i3_scenario_draws")
+def _(t):
+    table = scenarios.remaining_table(_remaining(t)[0])
+    return scenarios.scenario_draws(table, N_SIMS).select("sim", "match_id", "outcome", "goal_diff")
+
+
+@query("i4_scenario_tables")
+def _(t):
+    return _ranked(t).select("league_id", "sim", "team_id", "points", "goal_diff")
+
+
+@query("e9_scenario_rank")
+def _(t):
+    return _ranked(t).select("league_id", "sim", "team_id", "pos")
+
+
+@query("i5_position_counts")
+def _(t):
+    return rounded(scenarios.position_distribution(scenarios.position_counts(_ranked(t))), "p").drop("season")
+
+
+@query("i5_position_summary")
+def _(t):
+    out = scenarios.position_summary(scenarios.position_counts(_ranked(t)))
+    return rounded(out, "expected_pos", "expected_points").drop("season")
+
+
+@query("i6_zone_probabilities")
+def _(t):
+    zones = scenarios.zone_probabilities(scenarios.position_counts(_ranked(t)), SETTINGS.league.zones)
+    return rounded(zones, "p").drop("season")
+
+
+@query("i8_position_matrix")
+def _(t):
+    out = scenarios.position_matrix(scenarios.position_counts(_ranked(t)), 25)
+    return rounded(out, "expected_pos", *[f"pos_{k}" for k in range(1, 26)]).drop("season")
+
+
+@query("i9_projection_table")
+def _(t):
+    out = scenarios.projection_table(scenarios.position_counts(_ranked(t)), SETTINGS.league.zones)
+    names = [f"p_{z}" for z in SETTINGS.league.zones]
+    return rounded(out, "expected_points", "expected_pos", *names).drop("season")

@@ -14,18 +14,18 @@ def cte(name: str, sql: str) -> None:
     _CTES[name] = sql.strip()
 
 
-def _needed(sql: str, found: list[str]) -> list[str]:
-    for name, body in _CTES.items():
-        if name not in found and re.search(rf"\b{name}\b", sql):
-            _needed(body, found)
-            if name not in found:
-                found.append(name)
-    return found
+def _needed(sql: str) -> list[str]:
+    """Names the statement uses, directly or through others; a name uses earlier ones only."""
+    texts, found = [sql], []
+    for name in reversed(_CTES):
+        if any(re.search(rf"\b{name}\b", t) for t in texts):
+            found.append(name)
+            texts.append(_CTES[name])
+    return found[::-1]
 
 
 def compose(sql: str, recursive: bool = False) -> str:
-    names = _needed(sql, [])
-    order = [n for n in _CTES if n in names]
+    order = _needed(sql)
     if not order:
         return sql.strip()
     head = "WITH RECURSIVE " if recursive else "WITH "
@@ -39,7 +39,7 @@ def oracle(name: str, sql: str) -> None:
 
 
 def all_oracles() -> dict[str, str]:
-    return {n: compose(s, recursive="rating_steps" in _needed(s, [])) for n, s in ORACLES.items()}
+    return {n: compose(s, recursive="rating_steps" in _needed(s)) for n, s in ORACLES.items()}
 
 
 # --- adapted tables ----------------------------------------------------------------------------
@@ -589,3 +589,161 @@ oracle("g3_other_seasons", """
 WITH pool AS (SELECT league_id, season, match_id FROM probs WHERE component = 'third')
 SELECT s.league_id, s.season AS held_out, count(*) AS n FROM (SELECT DISTINCT league_id, season FROM pool) s
 JOIN pool o ON o.league_id = s.league_id AND o.season <> s.season GROUP BY 1, 2""")
+
+# --- score model and blends --------------------------------------------------------------------
+
+cte("weak_three", """
+SELECT league_id, avg(attack) AS pa, avg(defence) AS pd FROM (
+  SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY attack + defence, team_id) AS rank FROM params) WHERE rank <= 3 GROUP BY 1""")
+cte("goals", """
+SELECT c.*, exp(coalesce(h.attack, w.pa) - coalesce(a.defence, w.pd) + 0.25) AS lam,
+       exp(coalesce(a.attack, w.pa) - coalesce(h.defence, w.pd)) AS mu
+FROM contests c JOIN weak_three w ON w.league_id = c.league_id
+LEFT JOIN params h ON h.league_id = c.league_id AND h.team_id = c.home_id
+LEFT JOIN params a ON a.league_id = c.league_id AND a.team_id = c.away_id""")
+_TAU = """CASE WHEN {x} = 0 AND {y} = 0 THEN 1 - lam * mu * (-0.1) WHEN {x} = 0 AND {y} = 1 THEN 1 + lam * (-0.1)
+  WHEN {x} = 1 AND {y} = 0 THEN 1 + mu * (-0.1) WHEN {x} = 1 AND {y} = 1 THEN 1 + 0.1 ELSE 1.0 END"""
+cte("grid", f"""
+SELECT match_id, hg, ag, raw / sum(raw) OVER (PARTITION BY match_id) AS p FROM (
+  SELECT match_id, i.i AS hg, j.j AS ag, greatest(0.0, exp(-lam) * pow(lam, i.i) / factorial(CAST(i.i AS INTEGER))
+    * exp(-mu) * pow(mu, j.j) / factorial(CAST(j.j AS INTEGER)) * ({_TAU.format(x='i.i', y='j.j')})) AS raw
+  FROM goals, (SELECT CAST(range AS INTEGER) AS i FROM range(0, 11)) i, (SELECT CAST(range AS INTEGER) AS j FROM range(0, 11)) j)""")
+oracle("d19_negative_log_likelihood", f"""
+SELECT g.league_id, round(-sum(exp(-0.0019 * date_diff('day', date, last)) *
+   (ln(greatest(1e-10, {_TAU.format(x='home_goals', y='away_goals')})) + home_goals * ln(lam) - lam + away_goals * ln(mu) - mu)), 4) AS nll
+FROM goals g JOIN (SELECT league_id, max(date) AS last FROM contests WHERE status = 'finished' GROUP BY 1) m ON m.league_id = g.league_id
+WHERE status = 'finished' GROUP BY 1""")
+cte("true_probs", f"""
+SELECT league_id, match_id, max(CASE WHEN component = 'score_model' THEN {_PTRUE} END) AS q0,
+       max(CASE WHEN component = 'trees' THEN {_PTRUE} END) AS q1, max(CASE WHEN component = 'third' THEN {_PTRUE} END) AS q2
+FROM probs GROUP BY 1, 2""")
+cte("best_weights", """
+SELECT league_id, i, j, loss FROM (
+  SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY loss, i, j) AS rn FROM (
+    SELECT league_id, i, j, avg(-ln(greatest(i * 0.05::DOUBLE * q0 + j * 0.05::DOUBLE * q1 + (20 - i - j) * 0.05::DOUBLE * q2, 1e-15))) AS loss
+    FROM true_probs, (SELECT range AS i FROM range(0, 21)) a, (SELECT range AS j FROM range(0, 21)) b WHERE i + j <= 20 GROUP BY 1, 2, 3)) WHERE rn = 1""")
+cte("weight_rows", """
+SELECT league_id, loss, 'score_model' AS component, i * 0.05::DOUBLE AS weight FROM best_weights
+UNION ALL SELECT league_id, loss, 'trees', j * 0.05::DOUBLE FROM best_weights
+UNION ALL SELECT league_id, loss, 'third', (20 - i - j) * 0.05::DOUBLE FROM best_weights""")
+oracle("h7_optimal_weights", "SELECT league_id, round(loss, 6) AS loss, component, round(weight, 6) AS weight FROM weight_rows")
+oracle("h8_optimal_pair_weight", """
+SELECT league_id, round(i * 0.05::DOUBLE, 6) AS weight, round(loss, 6) AS loss FROM (
+  SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY loss, i) AS rn FROM (
+    SELECT league_id, i, avg(-ln(greatest(i * 0.05::DOUBLE * q0 + (1 - i * 0.05::DOUBLE) * q1, 1e-15))) AS loss
+    FROM true_probs, (SELECT range AS i FROM range(0, 21)) a GROUP BY 1, 2)) WHERE rn = 1""")
+oracle("h8_pair_blend", """
+SELECT a.match_id, round(0.35 * a.p_home + 0.65 * b.p_home, 6) AS p_home, round(0.35 * a.p_draw + 0.65 * b.p_draw, 6) AS p_draw,
+       round(0.35 * a.p_away + 0.65 * b.p_away, 6) AS p_away
+FROM probs a JOIN probs b ON b.match_id = a.match_id WHERE a.component = 'score_model' AND b.component = 'trees'""")
+oracle("h9_weighted_blend", """
+SELECT p.league_id, p.match_id, max(result) AS result, round(sum(weight * p_home), 6) AS p_home, round(sum(weight * p_draw), 6) AS p_draw,
+       round(sum(weight * p_away), 6) AS p_away
+FROM probs p JOIN weight_rows w ON w.league_id = p.league_id AND w.component = p.component GROUP BY 1, 2""")
+oracle("h10_time_weights", """
+SELECT match_id, round(exp(-0.0019 * date_diff('day', date, last)), 6) AS weight FROM contests c
+JOIN (SELECT league_id, max(date) AS last FROM contests WHERE status = 'finished' GROUP BY 1) m ON m.league_id = c.league_id
+WHERE status = 'finished'""")
+oracle("h12_expected_goals", "SELECT match_id, round(lam, 6) AS lam, round(mu, 6) AS mu FROM goals")
+oracle("h13_score_grid", "SELECT match_id, hg, ag, round(p, 8) AS p FROM grid")
+oracle("h14_score_outcomes", """
+SELECT match_id, round(sum(p) FILTER (WHERE hg > ag), 6) AS p_home, round(sum(p) FILTER (WHERE hg = ag), 6) AS p_draw,
+       round(sum(p) FILTER (WHERE hg < ag), 6) AS p_away FROM grid GROUP BY 1""")
+oracle("h15_likely_score", """
+SELECT match_id, hg || '-' || ag AS pred_score, round(p, 6) AS pred_score_prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, hg, ag) AS rn FROM grid) WHERE rn = 1""")
+oracle("h16_market_or_fallback", """
+SELECT p.match_id, round(coalesce(imp_home, p_home), 6) AS p_home, round(coalesce(imp_draw, p_draw), 6) AS p_draw,
+       round(coalesce(imp_away, p_away), 6) AS p_away
+FROM probs p LEFT JOIN opening o ON o.match_id = p.match_id WHERE component = 'score_model'""")
+oracle("h19_promotion_gate", """
+SELECT match_id AS candidate, round(0.9 + (match_id % 307) / 1000.0::DOUBLE, 6) AS val_loss, model_version AS previous_version,
+       round(loss::DOUBLE, 6) AS previous_loss, 0.9::DOUBLE + (match_id % 307) / 1000.0::DOUBLE <= loss::DOUBLE * 1.1::DOUBLE AS promoted
+FROM contests, (SELECT model_version, loss FROM registry WHERE promoted ORDER BY trained_at DESC, model_version DESC LIMIT 1) r""")
+
+cte("rating_order", """
+SELECT league_id, match_id, home_id, away_id, home_goals, away_goals,
+       row_number() OVER (PARTITION BY league_id ORDER BY date, match_id) AS rn FROM contests""")
+cte("rating_steps", """
+SELECT league_id, 0::BIGINT AS rn, NULL::BIGINT AS match_id, NULL::DOUBLE AS pre_h, NULL::DOUBLE AS pre_a, NULL::DOUBLE AS delta,
+       list_resize([]::DOUBLE[], 25, 1500.0::DOUBLE) AS r, 0 AS h, 0 AS a FROM (SELECT DISTINCT league_id FROM contests)
+UNION ALL
+SELECT league_id, rn, match_id, pre_h, pre_a, delta,
+       list_transform(r, lambda x, i: CASE WHEN delta IS NULL THEN x WHEN i = h THEN x + delta WHEN i = a THEN x - delta ELSE x END), h, a
+FROM (SELECT o.league_id, o.rn, o.match_id, s.r, o.home_id + 1 AS h, o.away_id + 1 AS a, s.r[o.home_id + 1] AS pre_h, s.r[o.away_id + 1] AS pre_a,
+        CASE WHEN o.home_goals IS NOT NULL THEN 20.0::DOUBLE * (CASE WHEN o.home_goals > o.away_goals THEN 1.0::DOUBLE WHEN o.home_goals = o.away_goals THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END
+          - 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, -((s.r[o.home_id + 1] + 60.0::DOUBLE) - s.r[o.away_id + 1]) / 400.0::DOUBLE))) END AS delta
+      FROM rating_steps s JOIN rating_order o ON o.league_id = s.league_id AND o.rn = s.rn + 1)""")
+cte("own_ratings", """
+SELECT match_id, league_id, pre_h AS rating_own_home, pre_a AS rating_own_away, pre_h + delta AS rating_own_home_post, pre_a - delta AS rating_own_away_post
+FROM rating_steps WHERE match_id IS NOT NULL""")
+for _name in ("h21_own_ratings", "h21_own_ratings_blocks"):
+    oracle(_name, """
+SELECT match_id, round(rating_own_home, 6) AS rating_own_home, round(rating_own_away, 6) AS rating_own_away,
+       round(rating_own_home_post, 6) AS rating_own_home_post, round(rating_own_away_post, 6) AS rating_own_away_post FROM own_ratings""")
+oracle("h22_rating_log", """
+SELECT c.home_id AS team_id, c.match_id, c.date, round(rating_own_home_post, 2) AS rating, 'own' AS rating_kind
+FROM own_ratings o JOIN contests c ON c.match_id = o.match_id WHERE rating_own_home_post IS NOT NULL
+UNION ALL
+SELECT c.away_id, c.match_id, c.date, round(rating_own_away_post, 2), 'own'
+FROM own_ratings o JOIN contests c ON c.match_id = o.match_id WHERE rating_own_home_post IS NOT NULL""")
+
+# --- scenarios ---------------------------------------------------------------------------------
+
+cte("remaining", """
+SELECT c.*, (1 + match_id % 7) / CAST(3 + match_id % 7 + match_id % 5 + match_id % 3 AS DOUBLE) AS p_home,
+       (1 + match_id % 5) / CAST(3 + match_id % 7 + match_id % 5 + match_id % 3 AS DOUBLE) AS p_draw,
+       (1 + match_id % 3) / CAST(3 + match_id % 7 + match_id % 5 + match_id % 3 AS DOUBLE) AS p_away
+FROM contests c JOIN matchdays USING (match_id) WHERE season = '2001' AND matchday >= 20""")
+cte("margins", """
+SELECT match_id, abs(hg - ag) AS margin, sum(p) FILTER (WHERE hg > ag) / sum(sum(p) FILTER (WHERE hg > ag)) OVER w AS hm,
+       sum(p) FILTER (WHERE hg < ag) / sum(sum(p) FILTER (WHERE hg < ag)) OVER w AS am
+FROM grid JOIN remaining USING (match_id) WHERE hg <> ag GROUP BY 1, 2 WINDOW w AS (PARTITION BY match_id)""")
+cte("margin_cdfs", """
+SELECT match_id, margin, sum(hm) OVER w AS hc, sum(am) OVER w AS ac FROM margins WINDOW w AS (PARTITION BY match_id ORDER BY margin)""")
+oracle("i1_margin_distribution", "SELECT match_id, margin, round(hm, 8) AS p_home_margin, round(am, 8) AS p_away_margin FROM margins")
+oracle("i2_remaining_table", f"""
+SELECT match_id, {_R3}, margin, round(hc, 6) AS home_cdf, round(ac, 6) AS away_cdf FROM remaining JOIN margin_cdfs USING (match_id)""")
+_U = "CAST('0x' || substr(md5('42|' || sim || '|' || {key} || '|{tag}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+cte("draws", f"""
+SELECT sim, match_id, league_id, home_id, away_id, outcome,
+  CAST(CASE outcome WHEN 'H' THEN 1 + len(list_filter(hl[1:9], lambda x: x <= v)) WHEN 'A' THEN -(1 + len(list_filter(al[1:9], lambda x: x <= v))) ELSE 0 END AS INTEGER) AS goal_diff
+FROM (SELECT *, CASE WHEN u < p_home THEN 'H' WHEN u < p_home + p_draw THEN 'D' ELSE 'A' END AS outcome FROM (
+  SELECT CAST(sim AS INTEGER) AS sim, r.*, hl, al, {_U.format(key='match_id', tag='outcome')} AS u, {_U.format(key='match_id', tag='margin')} AS v
+  FROM remaining r JOIN (SELECT match_id, list(hc ORDER BY margin) AS hl, list(ac ORDER BY margin) AS al FROM margin_cdfs GROUP BY 1) USING (match_id),
+       (SELECT range AS sim FROM range(0, 200)) s))""")
+oracle("i3_scenario_draws", "SELECT sim, match_id, outcome, goal_diff FROM draws")
+cte("played_now", """
+SELECT league_id, team_id, sum(p) AS points, sum(g) AS gd FROM (
+  SELECT c.league_id, c.home_id AS team_id, home_goals - away_goals AS g, CASE WHEN home_goals > away_goals THEN 3 WHEN home_goals = away_goals THEN 1 ELSE 0 END AS p
+  FROM contests c JOIN matchdays USING (match_id) WHERE season = '2001' AND matchday < 20 AND home_goals IS NOT NULL
+  UNION ALL
+  SELECT c.league_id, c.away_id, away_goals - home_goals, CASE WHEN away_goals > home_goals THEN 3 WHEN home_goals = away_goals THEN 1 ELSE 0 END
+  FROM contests c JOIN matchdays USING (match_id) WHERE season = '2001' AND matchday < 20 AND home_goals IS NOT NULL) GROUP BY 1, 2""")
+cte("scenario_tables", """
+SELECT t.league_id, CAST(s.sim AS INTEGER) AS sim, t.team_id, CAST(coalesce(p.points, 0) + coalesce(d.points, 0) AS BIGINT) AS points,
+       CAST(coalesce(p.gd, 0) + coalesce(d.gd, 0) AS BIGINT) AS goal_diff
+FROM (SELECT DISTINCT league_id, team_id FROM side_stats WHERE season = '2001') t, (SELECT range AS sim FROM range(0, 200)) s
+LEFT JOIN played_now p ON p.league_id = t.league_id AND p.team_id = t.team_id
+LEFT JOIN (SELECT league_id, sim, team_id, sum(p) AS points, sum(g) AS gd FROM (
+   SELECT league_id, sim, home_id AS team_id, goal_diff AS g, CASE outcome WHEN 'H' THEN 3 WHEN 'D' THEN 1 ELSE 0 END AS p FROM draws
+   UNION ALL SELECT league_id, sim, away_id, -goal_diff, CASE outcome WHEN 'A' THEN 3 WHEN 'D' THEN 1 ELSE 0 END FROM draws) GROUP BY 1, 2, 3) d
+  ON d.league_id = t.league_id AND d.sim = s.sim AND d.team_id = t.team_id""")
+_TIE_KEY = "league_id || ':2001:' || team_id"
+cte("scenario_ranks", f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY league_id, sim ORDER BY points DESC, goal_diff DESC, {_U.format(key=_TIE_KEY, tag='tie')} DESC, team_id) AS INTEGER) AS pos
+FROM scenario_tables""")
+oracle("i4_scenario_tables", "SELECT league_id, sim, team_id, points, goal_diff FROM scenario_tables")
+oracle("e9_scenario_rank", "SELECT league_id, sim, team_id, pos FROM scenario_ranks")
+oracle("i5_position_counts", """
+SELECT league_id, team_id, pos, count(*) AS n, round(count(*) / 200.0::DOUBLE, 6) AS p FROM scenario_ranks GROUP BY 1, 2, 3""")
+oracle("i5_position_summary", """
+SELECT league_id, team_id, count(*) AS n_sims, round(avg(pos), 6) AS expected_pos, round(avg(points), 6) AS expected_points FROM scenario_ranks GROUP BY 1, 2""")
+_ZONES = {"titulo": (1, 1), "champions": (1, 4), "europa": (5, 6), "conference": (7, 7), "descenso": (18, 20)}
+oracle("i6_zone_probabilities", " UNION ALL ".join(
+    f"SELECT league_id, team_id, '{z}' AS zone, round(avg(CAST(pos BETWEEN {lo} AND {hi} AS INTEGER)), 6) AS p FROM scenario_ranks GROUP BY 1, 2"
+    for z, (lo, hi) in _ZONES.items()))
+oracle("i8_position_matrix", "SELECT league_id, team_id, round(avg(pos), 6) AS expected_pos, " + ", ".join(
+    f"round(avg(CAST(pos = {k} AS INTEGER)), 6) AS pos_{k}" for k in range(1, 26)) + " FROM scenario_ranks GROUP BY 1, 2")
+oracle("i9_projection_table", "SELECT league_id, team_id, round(avg(points), 1) AS expected_points, round(avg(pos), 1) AS expected_pos, " + ", ".join(
+    f"round(avg(CAST(pos BETWEEN {lo} AND {hi} AS INTEGER)), 6) AS p_{z}" for z, (lo, hi) in _ZONES.items()) + " FROM scenario_ranks GROUP BY 1, 2")
