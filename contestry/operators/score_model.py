@@ -8,6 +8,8 @@ the grid of scores is an array column, never a join or a shuffle.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,39 +74,47 @@ def tau(i: Column, j: Column, lam: Column, mu: Column, rho: Column) -> Column:
     )
 
 
-def _pmf(mean: str, max_goals: int) -> Column:
-    m = F.col(mean)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(max_goals)),
-        lambda k: F.exp(-m) * F.pow(m, k) / F.factorial(k).cast("double"),
-    )
-
-
 def with_grid(rows: DataFrame, max_goals: int = 10) -> DataFrame:
-    """Adds `grid`: score probabilities in row-major order, summing to one."""
-    side = max_goals + 1
-    lam, mu, rho = F.col("lam"), F.col("mu"), F.col("rho")
-    pmfs = rows.withColumns({"__ph": _pmf("lam", max_goals), "__pa": _pmf("mu", max_goals)})
-
-    def cell(k: Column) -> Column:
-        i, j = F.floor(k / side).cast("int"), k % side
-        p = F.get("__ph", i) * F.get("__pa", j) * tau(i, j, lam, mu, rho)
-        return F.greatest(p, F.lit(0.0))
+    """Adds `grid`: score probabilities in row-major order, summing to one.
 
-    raw = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell)
-    summed = pmfs.withColumn("__raw", raw).withColumn(
-        "__total", F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x)
-    )
-    return summed.withColumn("grid", F.transform("__raw", lambda x: x / F.col("__total"))).drop(
-        "__ph", "__pa", "__raw", "__total"
-    )
+    Written out cell by cell: plain arithmetic stays in generated code, and each marginal is a
+    column of its own, so it is computed once per row.
+    """
+    goals = range(max_goals + 1)
+    lam, mu, rho = F.col("lam"), F.col("mu"), F.col("rho")
+    marginals = {}
+    for k in goals:
+        marginals[f"__h{k}"] = F.exp(-lam) * F.pow(lam, F.lit(k)) / F.lit(float(math.factorial(k)))
+        marginals[f"__a{k}"] = F.exp(-mu) * F.pow(mu, F.lit(k)) / F.lit(float(math.factorial(k)))
+    out = rows.withColumns(marginals)
+    corrected = {}
+    for i in (0, 1):
+        for j in (0, 1):
+            factor = tau(F.lit(i), F.lit(j), lam, mu, rho)
+            corrected[f"__c{i}{j}"] = F.greatest(F.col(f"__h{i}") * F.col(f"__a{j}") * factor, F.lit(0.0))
+    out = out.withColumns(corrected)
+
+    def cell(i: int, j: int) -> Column:
+        return F.col(f"__c{i}{j}") if i < 2 and j < 2 else F.col(f"__h{i}") * F.col(f"__a{j}")
+
+    cells = [cell(i, j) for i in goals for j in goals]
+    out = out.withColumn("__scale", 1.0 / sum(cells[1:], cells[0]))
+    out = out.withColumn("grid", F.array(*[c * F.col("__scale") for c in cells]))
+    return out.drop("__scale", *marginals, *corrected)
 
 
 def grid_rows(rows: DataFrame, keep: list[str], max_goals: int = 10) -> DataFrame:
+    """Long form. Cell numbers are exploded, not the grid: exploding a computed array makes the
+    optimizer push a size test of the whole expression below its inputs."""
     side = max_goals + 1
-    cells = with_grid(rows, max_goals).select(*keep, F.posexplode("grid").alias("k", "p"))
+    cells = with_grid(rows, max_goals).select(
+        *keep, "grid", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("k")
+    )
     return cells.select(
-        *keep, F.floor(F.col("k") / side).cast("int").alias("hg"), (F.col("k") % side).alias("ag"), "p"
+        *keep,
+        F.floor(F.col("k") / side).cast("int").alias("hg"),
+        (F.col("k") % side).alias("ag"),
+        F.get("grid", F.col("k")).alias("p"),
     )
 
 
@@ -143,27 +153,22 @@ def conditional_differences(gridded: DataFrame, max_goals: int = 10) -> DataFram
     Entry g - 1 is the probability of a margin of g; without any mass the margin is one.
     """
     side = max_goals + 1
-
-    def margins(sign: int) -> Column:
-        sums = []
+    out, names = gridded, []
+    for prefix, target, home in (("__hm", "home_margin", True), ("__am", "away_margin", False)):
+        sums = {}
         for g in range(1, side):
             picked = [
-                F.col("grid")[(j + g) * side + j if sign > 0 else j * side + j + g] for j in range(side - g)
+                F.col("grid")[(j + g) * side + j if home else j * side + j + g] for j in range(side - g)
             ]
-            sums.append(sum(picked[1:], picked[0]))
-        return F.array(*sums)
-
-    fallback = F.array(*[F.lit(1.0 if g == 0 else 0.0) for g in range(max_goals)])
-    out = gridded.withColumns({"__h": margins(1), "__a": margins(-1)})
-    for raw, name in (("__h", "home_margin"), ("__a", "away_margin")):
-        total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
-        out = out.withColumn(f"{raw}_t", total).withColumn(
-            name,
-            F.when(
-                F.col(f"{raw}_t") > 0, F.transform(raw, lambda x, r=raw: x / F.col(f"{r}_t"))
-            ).otherwise(fallback),
-        )
-    return out.drop("__h", "__a", "__h_t", "__a_t")
+            sums[f"{prefix}{g}"] = sum(picked[1:], picked[0])
+        margins = [F.col(n) for n in sums]
+        out = out.withColumns(sums).withColumn(f"{prefix}_t", sum(margins[1:], margins[0]))
+        fallback = F.array(*[F.lit(1.0 if g == 0 else 0.0) for g in range(max_goals)])
+        total = F.col(f"{prefix}_t")
+        shares = F.array(*[F.try_divide(m, total) for m in margins])
+        out = out.withColumn(target, F.when(total > 0, shares).otherwise(fallback))
+        names += [*sums, f"{prefix}_t"]
+    return out.drop(*names)
 
 
 def negative_log_likelihood(rows: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:

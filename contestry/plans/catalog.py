@@ -811,7 +811,8 @@ def _(t):
 
 @query("h13_score_grid")
 def _(t):
-    return rounded(score_model.grid_rows(_with_goals(t, t.contests()), ["match_id"], 10), "p", places=8)
+    pairings = t.contests().select("league_id", "home_id", "away_id").distinct()
+    return rounded(score_model.grid_rows(_with_goals(t, pairings), ["league_id", "home_id", "away_id"], 10), "p", places=8)
 
 
 @query("h14_score_outcomes")
@@ -895,16 +896,18 @@ def _ranked(t: ContestTables) -> DataFrame:
 @query("i1_margin_distribution")
 def _(t):
     remaining, _played = _remaining(t)
-    long = remaining.select("match_id", F.posexplode(F.arrays_zip("home_margin", "away_margin")).alias("g", "m"))
-    out = long.select("match_id", (F.col("g") + 1).alias("margin"), F.col("m.home_margin").alias("p_home_margin"), F.col("m.away_margin").alias("p_away_margin"))
+    long = remaining.select("match_id", "home_margin", "away_margin", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("margin"))
+    at = F.col("margin") - 1
+    out = long.select("match_id", "margin", F.get("home_margin", at).alias("p_home_margin"), F.get("away_margin", at).alias("p_away_margin"))
     return rounded(out, "p_home_margin", "p_away_margin", places=8)
 
 
 @query("i2_remaining_table")
 def _(t):
     table = scenarios.remaining_table(_remaining(t)[0])
-    long = table.select("match_id", "p_home", "p_draw", "p_away", F.posexplode(F.arrays_zip("home_cdf", "away_cdf")).alias("g", "m"))
-    out = long.select("match_id", *C.PROBS, (F.col("g") + 1).alias("margin"), F.col("m.home_cdf").alias("home_cdf"), F.col("m.away_cdf").alias("away_cdf"))
+    long = table.select("match_id", *C.PROBS, "home_cdf", "away_cdf", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("margin"))
+    at = F.col("margin") - 1
+    out = long.select("match_id", *C.PROBS, "margin", F.get("home_cdf", at).alias("home_cdf"), F.get("away_cdf", at).alias("away_cdf"))
     return rounded(out, *C.PROBS, "home_cdf", "away_cdf")
 
 

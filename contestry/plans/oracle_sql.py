@@ -645,7 +645,8 @@ SELECT match_id, round(exp(-0.0019 * date_diff('day', date, last)), 6) AS weight
 JOIN (SELECT league_id, max(date) AS last FROM contests WHERE status = 'finished' GROUP BY 1) m ON m.league_id = c.league_id
 WHERE status = 'finished'""")
 oracle("h12_expected_goals", "SELECT match_id, round(lam, 6) AS lam, round(mu, 6) AS mu FROM goals")
-oracle("h13_score_grid", "SELECT match_id, hg, ag, round(p, 8) AS p FROM grid")
+oracle("h13_score_grid", """
+SELECT DISTINCT league_id, home_id, away_id, hg, ag, round(p, 8) AS p FROM grid JOIN contests USING (match_id)""")
 oracle("h14_score_outcomes", """
 SELECT match_id, round(sum(p) FILTER (WHERE hg > ag), 6) AS p_home, round(sum(p) FILTER (WHERE hg = ag), 6) AS p_draw,
        round(sum(p) FILTER (WHERE hg < ag), 6) AS p_away FROM grid GROUP BY 1""")
