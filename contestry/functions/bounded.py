@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 GROUP_LIMIT = 5_000_000
 # Positions per bucket in the two-level scan.
 BUCKET_ROWS = 1_000_000
+# Bins a distribution is cut into when an exact quantile is looked up.
+QUANTILE_BINS = 256
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -104,72 +106,55 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10_000
+    df: DataFrame, keys: list[str], value: str, probs: list[float], weight: str | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, as columns q0, q1, ...
 
-    Values are first counted per distinct value; an approximate sketch brackets each wanted
-    rank, and only the distinct values inside the bracket are ordered.
+    Values are counted per distinct value, and approximate marks cut them into bins of about
+    equal size. Exact counts per bin tell which bins hold the wanted ranks; only the values of
+    those bins are put in order. `weight` names a column of repeat counts.
     """
     if not keys:
-        return exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, accuracy).drop("__all")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    slack = 3.0 / accuracy
-    marks = [m for p in probs for m in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("total"),
-            F.percentile_approx(value, [float(m) for m in marks], accuracy).alias("marks"),
-            F.min(value).alias("lo_all"),
-            F.max(value).alias("hi_all"),
-        )
+        all_rows = df.withColumn("__all", F.lit(0))
+        return exact_quantiles(all_rows, ["__all"], value, probs, weight).drop("__all")
+    times = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    counts = (
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(times).alias("n"))
+    )
+    cuts = [i / QUANTILE_BINS for i in range(1, QUANTILE_BINS)]
+    marks = counts.groupBy(*keys).agg(
+        F.percentile_approx(value, cuts, 10_000).alias("marks"), F.sum("n").alias("total")
     )
-    wants = sketch.select(
-        *keys,
-        "total",
-        F.posexplode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(float(p)).alias("p"),
-                        (F.col("marks")[2 * i] if marks[2 * i] > 0 else F.col("lo_all")).alias("lo"),
-                        (
-                            F.col("marks")[2 * i + 1] if marks[2 * i + 1] < 1 else F.col("hi_all")
-                        ).alias("hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ).alias("slot", "w"),
-    ).select(
-        *keys,
-        "slot",
-        "total",
-        F.col("w.lo").alias("lo"),
-        F.col("w.hi").alias("hi"),
-        ((F.col("total") - 1) * F.col("w.p")).alias("rank"),
+    binned = counts.join(marks, keys).withColumn(
+        "bin", F.size(F.filter("marks", lambda m: m < F.col(value)))
+    ).drop("marks")
+    upto = Window.partitionBy(*keys).orderBy("bin")
+    bins = (
+        binned.groupBy(*keys, "bin", "total").agg(F.sum("n").alias("bn"))
+        .withColumn("last", F.sum("bn").over(upto) - 1)
+        .withColumn("first", F.col("last") - F.col("bn") + 1)
     )
-    pairs = counts.join(wants, keys)
-    slot_keys = [*keys, "slot"]
-    below = pairs.groupBy(*slot_keys).agg(
-        F.sum(F.when(F.col(value) < F.col("lo"), F.col("n")).otherwise(0)).alias("below")
+    slots = F.array(
+        *[F.struct(F.lit(i).alias("slot"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]
     )
-    w = Window.partitionBy(*slot_keys).orderBy(value)
-    inside = (
-        pairs.filter((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
-        .withColumn("cum", F.sum("n").over(w))
-        .join(below, slot_keys)
-        .withColumn("first", F.col("below") + F.col("cum") - F.col("n"))
-        .withColumn("last", F.col("below") + F.col("cum") - 1)
+    rank = (F.col("total") - 1) * F.col("p")
+    wanted = (
+        bins.select(*keys, "bin", "total", "first", "last", F.inline(slots))
+        .withColumns({"lo": F.floor(rank), "hi": F.ceil(rank), "frac": rank - F.floor(rank)})
+        .filter(F.col("lo").between(F.col("first"), F.col("last")) | F.col("hi").between(F.col("first"), F.col("last")))
+        .select(*keys, "bin", "first", "slot", "lo", "hi", "frac")
     )
-    lo_rank, hi_rank = F.floor("rank"), F.ceil("rank")
-    picked = inside.groupBy(*slot_keys).agg(
-        F.max(F.when((F.col("first") <= lo_rank) & (lo_rank <= F.col("last")), F.col(value))).alias("a"),
-        F.max(F.when((F.col("first") <= hi_rank) & (hi_rank <= F.col("last")), F.col(value))).alias("b"),
-        F.max(F.col("rank") - lo_rank).alias("f"),
+    within = Window.partitionBy(*keys, "slot", "bin").orderBy(value)
+    ordered = (
+        binned.join(wanted, [*keys, "bin"])
+        .withColumn("end", F.col("first") + F.sum("n").over(within) - 1)
+        .withColumn("begin", F.col("end") - F.col("n") + 1)
     )
+
+    def at(r: str):
+        return F.max(F.when(F.col(r).between(F.col("begin"), F.col("end")), F.col(value)))
+
+    picked = ordered.groupBy(*keys, "slot").agg(at("lo").alias("a"), at("hi").alias("b"), F.max("frac").alias("f"))
     q = picked.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
     return q.groupBy(*keys).agg(
         *[F.max(F.when(F.col("slot") == i, F.col("q"))).alias(f"q{i}") for i in range(len(probs))]

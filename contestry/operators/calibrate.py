@@ -4,27 +4,130 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestry.functions.columns import OUTCOMES, PROBS, indicator
+from contestry.functions.columns import OUTCOMES, PROBS
 
 # Calibrated probabilities never fall below the floor; small pools stay raw.
 FLOOR = 0.01
 MIN_ROWS = 300
 
 
-def leave_one_out(pool: DataFrame) -> DataFrame:
+def leave_one_out(pool: DataFrame, keys: tuple[str, ...] = ("league_id",)) -> DataFrame:
     """Every row under each season it is *not* part of, as `held_out`.
 
-    The season list per league is a calendar-bounded array, so rows multiply by the number of
+    The season list per key is a calendar-bounded array, so rows multiply by the number of
     seasons and no pair of rows is ever formed.
     """
-    seasons = pool.groupBy("league_id").agg(F.collect_set("season").alias("__all"))
+    seasons = pool.groupBy(*keys).agg(F.collect_set("season").alias("__all"))
     return (
-        pool.join(seasons, "league_id")
+        pool.join(seasons, list(keys))
         .withColumn("held_out", F.explode(F.array_except("__all", F.array("season"))))
         .drop("__all")
     )
+
+
+def _pool_blocks(rows: list[tuple]) -> list[list[float]]:
+    """Adjacent pools [x_min, x_max, weight, sum] with rising means."""
+    pools: list[list[float]] = []
+    for lo, hi, w, s in rows:
+        pools.append([lo, hi, w, s])
+        while len(pools) > 1 and pools[-2][3] * pools[-1][2] >= pools[-1][3] * pools[-2][2]:
+            _, hi_last, w_last, s_last = pools.pop()
+            pools[-1][1] = hi_last
+            pools[-1][2] += w_last
+            pools[-1][3] += s_last
+    return pools
+
+
+def fit_isotonic(rows: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
+    """Monotone fits of outcome on probability per key and class.
+
+    Returns per key the threshold arrays xs_H, ys_H, ... . Equal probabilities are averaged
+    first. Rows are then range-partitioned by (key, class, probability), which splits a large
+    key over many tasks; each task pools its own stretch and only the pools meet again.
+    Pooling stretches first gives the same fit. Keys with few rows get the identity.
+    """
+    label = F.col("result")
+    long = rows.filter(label.isNotNull()).select(
+        *keys,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(o).alias("class"), F.col(p).alias("x"), (label == o).cast("double").alias("y"))
+                    for o, p in zip(OUTCOMES, PROBS, strict=True)
+                ]
+            )
+        ),
+    )
+    group = [*keys, "class"]
+    averaged = long.groupBy(*group, "x").agg(F.count("*").cast("double").alias("w"), F.sum("y").alias("s"))
+    types = dict(averaged.dtypes)
+    head = ", ".join(f"`{g}` {types[g]}" for g in group)
+    columns = [*group, "x_min", "x_max", "w", "s"]
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, pools = None, []
+        for b in batches:
+            out = []
+            for key, part in b.groupby(group, sort=False, dropna=False):
+                if current is not None and key != current:
+                    out += [(*current, *p) for p in pools]
+                    pools = []
+                current = key
+                fresh = zip(part["x"], part["x"], part["w"], part["s"], strict=True)
+                pools = _pool_blocks([*map(tuple, pools), *fresh])
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if current is not None:
+            yield pd.DataFrame([(*current, *p) for p in pools], columns=columns)
+
+    def final(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("x_min", kind="stable")
+        pools = _pool_blocks(list(zip(part["x_min"], part["x_max"], part["w"], part["s"], strict=True)))
+        total = sum(p[2] for p in pools)
+        xs, ys = [], []
+        if total < min_rows:
+            xs, ys = [0.0, 1.0], [0.0, 1.0]
+        else:
+            for lo, hi, w, s in pools:
+                for x in dict.fromkeys((lo, hi)):
+                    xs.append(float(x))
+                    ys.append(float(s / w))
+        return pd.DataFrame([(*key, xs, ys)], columns=[*group, "xs", "ys"])
+
+    ranged = averaged.repartitionByRange(*group, "x").sortWithinPartitions(*group, "x")
+    pooled = ranged.mapInPandas(local, f"{head}, x_min double, x_max double, w double, s double")
+    fits = pooled.groupBy(*group).applyInPandas(final, f"{head}, xs array<double>, ys array<double>")
+    at = {o: F.col("class") == o for o in OUTCOMES}
+    return fits.groupBy(*keys).agg(
+        *[F.max(F.when(at[o], F.col(v))).alias(f"{v}_{o}") for o in OUTCOMES for v in ("xs", "ys")]
+    )
+
+
+def _interpolate(p: Column, xs: str, ys: str) -> Column:
+    """Piecewise linear through the thresholds, constant outside them."""
+    x, y = F.col(xs), F.col(ys)
+    below = F.size(F.filter(x, lambda t: t <= p))
+    x0, y0 = F.get(x, below - 1), F.get(y, below - 1)
+    x1, y1 = F.get(x, below), F.get(y, below)
+    return (
+        F.when(below == 0, y[0])
+        .when(below == F.size(x), y0)
+        .otherwise(y0 + (y1 - y0) * F.try_divide(p - x0, x1 - x0))
+    )
+
+
+def apply_isotonic(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
+    """Calibrated probabilities in place: floored, then scaled to sum to one."""
+    joined = rows.join(fits, keys)
+    raw = {
+        f"__c{o}": F.greatest(_interpolate(F.col(p), f"xs_{o}", f"ys_{o}"), F.lit(FLOOR))
+        for o, p in zip(OUTCOMES, PROBS, strict=True)
+    }
+    out = joined.withColumns(raw)
+    total = F.col("__cH") + F.col("__cD") + F.col("__cA")
+    out = out.withColumns({p: F.col(f"__c{o}") / total for o, p in zip(OUTCOMES, PROBS, strict=True)})
+    return out.drop(*raw, *[f"{v}_{o}" for v in ("xs", "ys") for o in OUTCOMES])

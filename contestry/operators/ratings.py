@@ -94,7 +94,7 @@ def own_ratings(
     blocked = materialise(with_blocks(need, block_rows))
     state_schema = f"league_id bigint, block int, team_id {team_type}, rating double"
 
-    def ends(key, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+    def ends(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         ratings = _state(start)
         if len(rows):
             _walk(rows, ratings, cfg)

@@ -292,7 +292,9 @@ def _solve(pairs: pd.DataFrame, teams: np.ndarray, start: np.ndarray, rho_bound:
     return theta
 
 
-def fit_score_model(sums: DataFrame, folds: DataFrame, cfg: ScoreModelSettings) -> DataFrame:
+def fit_score_model(
+    sums: DataFrame, folds: DataFrame, cfg: ScoreModelSettings, xis: tuple[float, ...] | None = None
+) -> DataFrame:
     """One row per (league, xi, fold, team) with attack, defence, home_effect and rho.
 
     `folds` (league_id, fold, cut): a fold trains on all blocks with ord < cut. A league's folds
@@ -307,16 +309,17 @@ def fit_score_model(sums: DataFrame, folds: DataFrame, cfg: ScoreModelSettings)
     )
     rho_bound = cfg.rho_bound
 
-    def fit(key, pairs: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pairs: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
         out, previous = [], {}
         if pairs.empty or cuts.empty:
             return pd.DataFrame(columns=["league_id", "xi", "fold", "team_id", "attack", "defence", "home_effect", "rho"])
-        pairs = pairs.sort_values("ord", kind="stable")
-        for cut, names in cuts.sort_values("cut").groupby("cut"):
-            train = pairs[pairs["ord"] < cut]
+        train, done = pairs.iloc[:0], -np.inf
+        for cut, names in cuts.groupby("cut", sort=True):
+            fresh = pairs[(pairs["ord"] < cut) & (pairs["ord"] >= done)]
+            done = cut
+            train = pd.concat([train, fresh]).groupby(["home_id", "away_id"], as_index=False)[list(PAIR_SUMS)].sum()
             if train.empty:
                 continue
-            train = train.groupby(["home_id", "away_id"], as_index=False)[list(PAIR_SUMS)].sum()
             teams = np.unique(np.concatenate([train["home_id"], train["away_id"]]))
             n = len(teams)
             start = np.zeros(2 * n + 2)
@@ -346,8 +349,10 @@ def fit_score_model(sums: DataFrame, folds: DataFrame, cfg: ScoreModelSettings)
             return pd.DataFrame(columns=["league_id", "xi", "fold", "team_id", "attack", "defence", "home_effect", "rho"])
         return pd.concat(out, ignore_index=True)
 
-    xis = sums.select("league_id", "xi").distinct()
-    cuts = folds.select("league_id", "fold", F.col("cut").cast("long").alias("cut")).join(xis, "league_id")
+    candidates = F.array(*[F.lit(float(v)) for v in (xis or cfg.candidates)])
+    cuts = folds.select(
+        "league_id", "fold", F.col("cut").cast("long").alias("cut"), F.explode(candidates).alias("xi")
+    )
     return (
         sums.groupBy("league_id", "xi")
         .cogroup(cuts.groupBy("league_id", "xi"))
