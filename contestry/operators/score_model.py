@@ -350,8 +350,12 @@ def fit_score_model(
         return pd.concat(out, ignore_index=True)
 
     candidates = F.array(*[F.lit(float(v)) for v in (xis or cfg.candidates)])
+    # fresh column identities: sums and folds often come from the same contests
     cuts = folds.select(
-        "league_id", "fold", F.col("cut").cast("long").alias("cut"), F.explode(candidates).alias("xi")
+        (F.col("league_id") + F.lit(0)).alias("league_id"),
+        F.col("fold").alias("fold"),
+        F.col("cut").cast("long").alias("cut"),
+        F.explode(candidates).alias("xi"),
     )
     return (
         sums.groupBy("league_id", "xi")

@@ -955,3 +955,138 @@ def _(t):
     out = scenarios.projection_table(scenarios.position_counts(_ranked(t)), SETTINGS.league.zones)
     names = [f"p_{z}" for z in SETTINGS.league.zones]
     return rounded(out, "expected_points", "expected_pos", *names).drop("season")
+
+
+# --- features and models -----------------------------------------------------------------------
+
+from contestry.functions.bounded import materialise  # noqa: E402
+from contestry.operators import calibrate, logit, trees  # noqa: E402
+from contestry.plans import backtest, baselines, walkforward  # noqa: E402
+from contestry.plans.features import build_features  # noqa: E402
+from contestry.settings import TreeSettings  # noqa: E402
+
+# Short boosting runs: the registered queries check properties, not forecast quality.
+LEARN = demo_settings(trees=TreeSettings(rounds=4, learning_rate=0.3, max_depth=3))
+_CACHE: dict[tuple, object] = {}
+
+
+def _once(t: ContestTables, name: str, build):
+    """Model inputs shared by several queries of one session are written once."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
+def _feature_frame(t: ContestTables) -> DataFrame:
+    def build():
+        base = materialise(with_matchdays(t))
+        return materialise(build_features(base, t.ratings(), t.odds(), LEARN.features, include_scheduled=True))
+
+    return _once(t, "features", build)
+
+
+@query("h23_feature_set")
+def _(t):
+    base = materialise(with_matchdays(t))
+    out = build_features(base, t.ratings(), t.odds(), LEARN.features, include_scheduled=True)
+    out = out.select("match_id", "league_id", "season", "as_of_date", "result", *keys.feature_columns(out.columns))
+    return rounded(out, "rating_own_home", "rating_own_away", "rating_own_diff", *keys.MARKET_COLUMNS, "h2h_home_ppg")
+
+
+@query("d17_baselines")
+def _(t):
+    preds = baselines.run_baselines(_feature_frame(t), t.odds(), 3)
+    return rounded(agg.evaluate(preds, ["league_id", "baseline", "season"]), *_SCORES)
+
+
+@query("h2_rating_logistic")
+def _(t):
+    return rounded(baselines.rating_baseline(_feature_frame(t), 3).select("match_id", "season", *C.PROBS), *C.PROBS)
+
+
+@query("h3_linear_component")
+def _(t):
+    rows = walkforward.with_linear_inputs(_feature_frame(t)).filter(F.col("result").isNotNull())
+    tests = baselines.last_seasons(rows, 3)
+    fits = logit.fit_folds(rows, tests, walkforward.LINEAR, LEARN.models.linear.candidates, impute=True)
+    scored = logit.predict_folds(rows.join(tests, ["league_id", "season"], "left_semi"), fits, walkforward.LINEAR)
+    return rounded(scored.select("match_id", "c", *C.PROBS), *C.PROBS)
+
+
+@query("h4_boosted_trees")
+def _(t):
+    rows = walkforward.with_linear_inputs(_feature_frame(t)).filter(F.col("result").isNotNull())
+    model = trees.fit_trees(rows.filter(F.col("season") < "2000"), walkforward.tree_columns(rows, keys.NO_MARKET), LEARN.models.trees)
+    return trees.predict_trees(model, rows.filter(F.col("season") >= "2000")).select("match_id", *C.PROBS)
+
+
+@query("h5_isotonic")
+def _(t):
+    group = ["league_id", "component"]
+    fits = calibrate.fit_isotonic(t.probs(), group)
+    return rounded(calibrate.apply_isotonic(t.probs(), fits, group).select("match_id", "component", *C.PROBS), *C.PROBS)
+
+
+@query("h6_leave_one_season_out")
+def _(t):
+    held = calibrate.leave_one_out(t.probs())
+    group = ["league_id", "component", "season"]
+    fits = calibrate.fit_isotonic(held, ["league_id", "component", "held_out"]).withColumnRenamed("held_out", "season")
+    return rounded(calibrate.apply_isotonic(t.probs(), fits, group).select("match_id", "component", *C.PROBS), *C.PROBS)
+
+
+@query("h11_score_model_fit")
+def _(t):
+    rows = t.finished().join(logit.season_order(t.finished()), ["league_id", "season"])
+    folds = rows.select("league_id", F.col("season").alias("fold"), F.col("ord").alias("cut")).distinct().filter(F.col("cut") > 1)
+    sums = score_model.pair_sums(rows, LEARN.models.score.candidates, "2001-12-31")
+    fitted = score_model.fit_score_model(sums, folds, LEARN.models.score)
+    return rounded(fitted, "attack", "defence", "home_effect", "rho", places=5)
+
+
+def _pool(t: ContestTables) -> DataFrame:
+    return _once(t, "pool", lambda: walkforward.season_pool(_feature_frame(t), LEARN))
+
+
+def _bundle(t: ContestTables):
+    return _once(t, "bundle", lambda: walkforward.train(_feature_frame(t), LEARN, pool=_pool(t)))
+
+
+@query("h1_walk_forward_pool")
+def _(t):
+    return rounded(_pool(t), *C.PROBS)
+
+
+@query("h17_training")
+def _(t):
+    bundle = _bundle(t)
+    return rounded(bundle.weights.select("league_id", "variant", "component", "weight", "loss"), "weight", "loss")
+
+
+@query("h17_validation_scores")
+def _(t):
+    return rounded(_bundle(t).validation, *_SCORES)
+
+
+@query("h18_predictions")
+def _(t):
+    rows = _feature_frame(t).filter(F.col("season") == CURRENT_SEASON)
+    out = walkforward.predict(_bundle(t), rows, keys.NO_MARKET)
+    return rounded(out.drop("home_margin", "away_margin"), *C.PROBS, "pred_score_prob", "expected_goals_h", "expected_goals_a")
+
+
+@query("h18_predictions_with_market")
+def _(t):
+    rows = _feature_frame(t).filter(F.col("season") == CURRENT_SEASON)
+    out = walkforward.predict(_bundle(t), rows, keys.WITH_MARKET)
+    return rounded(out.drop("home_margin", "away_margin"), *C.PROBS, "pred_score_prob", "expected_goals_h", "expected_goals_a")
+
+
+def _backtest(t: ContestTables) -> DataFrame:
+    return _once(t, "backtest", lambda: backtest.run_backtest(_feature_frame(t), LEARN, 3, pool=_pool(t)))
+
+
+@query("h20_backtest")
+def _(t):
+    return rounded(agg.focus_evaluation(_backtest(t), ["league_id", "model", "season"], LEARN.focus_team), *_SCORES, "focus_accuracy")

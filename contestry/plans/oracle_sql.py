@@ -748,3 +748,39 @@ oracle("i8_position_matrix", "SELECT league_id, team_id, round(avg(pos), 6) AS e
     f"round(avg(CAST(pos = {k} AS INTEGER)), 6) AS pos_{k}" for k in range(1, 26)) + " FROM scenario_ranks GROUP BY 1, 2")
 oracle("i9_projection_table", "SELECT league_id, team_id, round(avg(points), 1) AS expected_points, round(avg(pos), 1) AS expected_pos, " + ", ".join(
     f"round(avg(CAST(pos BETWEEN {lo} AND {hi} AS INTEGER)), 6) AS p_{z}" for z, (lo, hi) in _ZONES.items()) + " FROM scenario_ranks GROUP BY 1, 2")
+
+# --- features ----------------------------------------------------------------------------------
+
+_FORM = [f"{s}{v}_ma{n}" for n in (5, 10) for s in STATS for v in ("", "_venue")]
+
+
+def _side_columns(prefix: str) -> str:
+    out = [f"{prefix}{'v' if '_venue' in c else 'f'}.{c} AS {'home' if prefix == 'h' else 'away'}_{c}" for c in _FORM]
+    name = "home" if prefix == "h" else "away"
+    out += [f"{prefix}r.rest_days AS {name}_rest_days", f"{prefix}k.win_streak AS {name}_win_streak", f"{prefix}k.loss_streak AS {name}_loss_streak"]
+    return ", ".join(out)
+
+
+def _side_joins(prefix: str, test: str) -> str:
+    return " ".join(
+        f"JOIN {cte_name} {prefix}{k} ON {prefix}{k}.match_id = c.match_id AND {test.format(prefix + k)}"
+        for k, cte_name in (("f", "form_all"), ("v", "form_venue"), ("r", "rest"), ("k", "streaks"))
+    )
+
+
+oracle("h23_feature_set", f"""
+SELECT c.match_id, c.league_id, c.season, c.date - 1 AS as_of_date, c.result, m.matchday, CAST(month(c.date) AS INTEGER) AS month,
+       CAST(c.season IN ('1997') AS INTEGER) AS no_crowd,
+       CAST((least(c.home_id, c.away_id), greatest(c.home_id, c.away_id)) IN ((3, 7), (5, 12), (20, 21)) AS INTEGER) AS derby,
+       ph.flag AS promoted_home, pa.flag AS promoted_away, round(h2h.h2h_home_ppg, 6) AS h2h_home_ppg,
+       round(o.rating_own_home, 6) AS rating_own_home, round(o.rating_own_away, 6) AS rating_own_away,
+       round(o.rating_own_home - o.rating_own_away, 6) + 0.0::DOUBLE AS rating_own_diff,
+       e.rating_ext_home, e.rating_ext_away, e.rating_ext_home - e.rating_ext_away AS rating_ext_diff,
+       {_side_columns("h")}, {_side_columns("a")},
+       round(imp_home, 6) AS imp_home, round(imp_draw, 6) AS imp_draw, round(imp_away, 6) AS imp_away
+FROM labelled c JOIN matchdays m ON m.match_id = c.match_id JOIN own_ratings o ON o.match_id = c.match_id
+JOIN asof_ext e ON e.match_id = c.match_id JOIN h2h ON h2h.match_id = c.match_id
+JOIN promotions ph ON ph.league_id = c.league_id AND ph.season = c.season AND ph.team_id = c.home_id
+JOIN promotions pa ON pa.league_id = c.league_id AND pa.season = c.season AND pa.team_id = c.away_id
+{_side_joins("h", "{0}.is_home")} {_side_joins("a", "NOT {0}.is_home")}
+LEFT JOIN opening i ON i.match_id = c.match_id""")
