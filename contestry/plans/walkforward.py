@@ -64,7 +64,9 @@ def season_pool(features: DataFrame, settings: Settings, variants=(keys.WITH_MAR
     test = rows.join(order.filter(F.col("ord") > 1).select("league_id", "season"), ["league_id", "season"], "left_semi")
 
     fitted = materialise(score_model_fits(rows, folds, settings)).withColumnRenamed("fold", "season")
-    scored = score_model_probs(test, fitted, ["league_id", "season", "xi"], settings.models.score.max_goals)
+    xis = F.array(*[F.lit(float(v)) for v in settings.models.score.candidates])
+    asked = test.select("league_id", "season", "match_id", "home_id", "away_id", "result", F.explode(xis).alias("xi"))
+    scored = score_model_probs(asked, fitted, ["league_id", "season", "xi"], settings.models.score.max_goals)
     parts = [_pool_rows(scored, "score_model", F.col("xi"))]
 
     cuts = folds.withColumn("c", F.explode(F.array(*[F.lit(float(c)) for c in settings.models.linear.candidates])))
@@ -119,8 +121,8 @@ def calibrate_and_weigh(scoped_pool: DataFrame, settings: Settings, variants=(ke
     held = calibrate.leave_one_out(pool, tuple(scope))
     loso = calibrate.fit_isotonic(held, [*scope, "component", "held_out"]).withColumnRenamed("held_out", "season")
     on = [*scope, "component", "season"]
-    honest = calibrate.apply_isotonic(pool, loso, on).select(*scope, *POOL)
-    single = pool.join(loso.select(*on), on, "left_anti").select(*scope[1:], *POOL)
+    honest = calibrate.apply_isotonic(pool, loso, on).select("scope", *POOL)
+    single = pool.join(loso.select(*on), on, "left_anti").select("scope", *POOL)
     honest = materialise(honest.unionByName(single))
     calibrators = materialise(calibrate.fit_isotonic(pool, [*scope, "component"]))
     weights = None
