@@ -1090,3 +1090,146 @@ def _backtest(t: ContestTables) -> DataFrame:
 @query("h20_backtest")
 def _(t):
     return rounded(agg.focus_evaluation(_backtest(t), ["league_id", "model", "season"], LEARN.focus_team), *_SCORES, "focus_accuracy")
+
+
+# --- projection, explanation, presentation, streams --------------------------------------------
+
+from contestry.operators import tables as shown  # noqa: E402
+from contestry.plans import ablation, projection  # noqa: E402
+from contestry.streaming import ingest as stream_ingest  # noqa: E402
+from contestry.streaming import ratings as stream_ratings  # noqa: E402
+
+
+@query("i7_projection")
+def _(t):
+    counts = projection.project(_bundle(t), _feature_frame(t), CURRENT_SEASON, FROM_MATCHDAY, n=N_SIMS)
+    return scenarios.projection_table(counts, LEARN.league.zones)
+
+
+def _tree_parts(t: ContestTables):
+    def build():
+        rows = walkforward.with_linear_inputs(_feature_frame(t)).filter(F.col("result").isNotNull())
+        model = _bundle(t).tree_models[keys.NO_MARKET]
+        return model, materialise(rows.select("match_id", "season", "result", *model.columns))
+
+    return _once(t, "tree_parts", build)
+
+
+def _contributions(t: ContestTables) -> DataFrame:
+    return _once(t, "contributions", lambda: materialise(trees.contributions(*_tree_parts(t))))
+
+
+@query("j1_contributions")
+def _(t):
+    c = F.col("contributions")
+    return _contributions(t).select(
+        "match_id", "class", "base",
+        (F.col("base") + F.aggregate(c, F.lit(0.0), lambda a, x: a + x)).alias("raw"),
+        F.size(c).alias("n_features"), F.array_max(F.transform(c, lambda x: F.abs(x))).alias("largest"),
+    )
+
+
+@query("j2_global_importance")
+def _(t):
+    model, _rows = _tree_parts(t)
+    return trees.global_importance(trees.contribution_rows(_contributions(t), model.columns))
+
+
+@query("j3_contest_contributions")
+def _(t):
+    model, rows = _tree_parts(t)
+    newest = rows.agg(F.max("match_id")).first()[0]
+    return trees.contest_contributions(trees.contribution_rows(_contributions(t), model.columns), newest, "H")
+
+
+@query("j4_swarm_values")
+def _(t):
+    out = trees.swarm_values(t.finished(), ["home_xg", "away_xg", "home_goals"])
+    return rounded(out, "shade")
+
+
+@query("j5_partial_dependence")
+def _(t):
+    model, rows = _tree_parts(t)
+    return trees.partial_dependence(model, rows, "rating_own_diff", 20)
+
+
+@query("j6_block_ablation")
+def _(t):
+    return ablation.run_ablation(_feature_frame(t), LEARN)
+
+
+@query("k1_focus_timeline")
+def _(t):
+    base = with_matchdays(t)
+    sides = form.side_form(form.side_rows(base), (5,), ("points",))
+    frame = base.join(form.fold_to_contests(sides, ["points_ma5"]), "match_id").join(joins.external_ratings(base, t.ratings()), "match_id")
+    return shown.focus_timeline(frame, t.alias_config(), SETTINGS.focus_team, "2000")
+
+
+@query("k2_registry_table")
+def _(t):
+    return tables.registry_table(_registry(t))
+
+
+@query("k3_backtest_means")
+def _(t):
+    scores = agg.evaluate(_backtest(t), ["league_id", "model", "season"])
+    return rounded(agg.mean_of_seasons(scores, ["league_id", "model"]), *_SCORES)
+
+
+@query("k3_backtest_gates")
+def _(t):
+    scores = agg.evaluate(_backtest(t), ["league_id", "model", "season"])
+    preds = baselines.run_baselines(_feature_frame(t), t.odds(), 3)
+    base = agg.evaluate(preds, ["league_id", "baseline", "season"])
+    means = agg.mean_of_seasons(scores, ["league_id", "model"]), agg.mean_of_seasons(base, ["league_id", "baseline"])
+    return rounded(agg.acceptance(*means), "ours", "limit")
+
+
+@query("k3_backtest_reliability")
+def _(t):
+    rows = _backtest(t).filter(F.col("model") == "ensemble_no_market")
+    return rounded(agg.reliability(rows), "mean_predicted", "observed")
+
+
+@query("k4_top_importance")
+def _(t):
+    model, _rows = _tree_parts(t)
+    ranked = trees.global_importance(trees.contribution_rows(_contributions(t), model.columns))
+    return selection.top_rows(ranked, "importance", "feature", 15)
+
+
+def _inbox(t: ContestTables, rows: DataFrame, cuts: list[str]) -> str:
+    """Rows written as one file per date range, oldest first: the batches of a replay."""
+    path = scratch_dir(t.spark)
+    edges = ["0001-01-01", *cuts, "9999-12-31"]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        day = F.col("date")
+        part = rows.filter((day >= F.lit(lo).cast("date")) & (day < F.lit(hi).cast("date")))
+        part.repartition(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("l1_incremental_ingest")
+def _(t):
+    cols = ["match_id", "league_id", "season", "date", "home_id", "away_id", "home_goals", "away_goals", "home_xg", "away_xg"]
+    stored = t.finished().filter(F.col("match_id") % 4 != 0).select(*cols)
+    path = scratch_dir(t.spark)
+    stored.write.mode("overwrite").partitionBy(*stream_ingest.PARTITIONS).parquet(path)
+    arriving = t.second_source().drop("matchday")
+    aliases = materialise(keys.explode_aliases(t.alias_config()))
+    stream_ingest.run_ingest(
+        t.spark, _inbox(t, arriving, ["1998-01-01"]), arriving.schema, path, stored.schema, aliases, "schedule", scratch_dir(t.spark)
+    )
+    return t.spark.read.schema(stored.schema).parquet(path).select(*cols)
+
+
+@query("l2_incremental_ratings")
+def _(t):
+    rows = t.contests().select("league_id", "match_id", "date", "home_id", "away_id", "home_goals", "away_goals")
+    inbox, out = _inbox(t, rows, ["1997-06-01", "1999-03-01"]), scratch_dir(t.spark)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    stream_ratings.run_ratings(t.spark, stream, SETTINGS.features.rating, out, scratch_dir(t.spark))
+    cols = ["rating_own_home", "rating_own_away", "rating_own_home_post", "rating_own_away_post"]
+    return rounded(t.spark.read.parquet(out).select("match_id", *cols), *cols)

@@ -784,3 +784,36 @@ JOIN promotions ph ON ph.league_id = c.league_id AND ph.season = c.season AND ph
 JOIN promotions pa ON pa.league_id = c.league_id AND pa.season = c.season AND pa.team_id = c.away_id
 {_side_joins("h", "{0}.is_home")} {_side_joins("a", "NOT {0}.is_home")}
 LEFT JOIN opening i ON i.match_id = c.match_id""")
+
+# --- explanation, presentation, streams --------------------------------------------------------
+
+oracle("j4_swarm_values", """
+WITH long AS (SELECT match_id, 'home_xg' AS feature, home_xg AS value FROM contests WHERE status = 'finished'
+  UNION ALL SELECT match_id, 'away_xg', away_xg FROM contests WHERE status = 'finished'
+  UNION ALL SELECT match_id, 'home_goals', CAST(home_goals AS DOUBLE) FROM contests WHERE status = 'finished'),
+st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM long GROUP BY 1)
+SELECT match_id, l.feature, value, CASE WHEN value IS NOT NULL THEN
+  round(greatest(-2.0, least(2.0, (value - m) / CASE WHEN s > 0 THEN s ELSE 1.0 END)), 6) + 0.0::DOUBLE END AS shade
+FROM long l JOIN st ON st.feature = l.feature""")
+oracle("k1_focus_timeline", """
+SELECT c.league_id, c.match_id, m.matchday, c.date, CASE WHEN c.home_id = 3 THEN c.away_id ELSE c.home_id END AS opponent_id,
+       c.home_id = 3 AS at_home, CASE WHEN c.home_id = 3 THEN e.rating_ext_home ELSE e.rating_ext_away END AS rating,
+       CASE WHEN c.home_id = 3 THEN c.home_xg ELSE c.away_xg END AS xg_for, CASE WHEN c.home_id = 3 THEN c.away_xg ELSE c.home_xg END AS xg_against,
+       f.points_ma5 AS form_points_ma5, n.n_name AS opponent
+FROM contests c JOIN matchdays m ON m.match_id = c.match_id JOIN asof_ext e ON e.match_id = c.match_id
+JOIN form_all f ON f.match_id = c.match_id AND f.team = 3
+JOIN nation n ON n.n_nationkey = CASE WHEN c.home_id = 3 THEN c.away_id ELSE c.home_id END
+WHERE c.season = '2000' AND (c.home_id = 3 OR c.away_id = 3)""")
+oracle("k2_registry_table", """
+SELECT model_version, trained_at, train_window, val_season, round(loss::DOUBLE, 4) AS reference_logloss, promoted FROM registry""")
+oracle("l1_incremental_ingest", """
+WITH stored AS (SELECT * FROM contests WHERE status = 'finished' AND match_id % 4 <> 0),
+arriving AS (SELECT * FROM second_source WHERE home_id <> 24 AND away_id <> 24)
+SELECT coalesce(n.match_id, o.match_id) AS match_id, coalesce(n.league_id, o.league_id) AS league_id, coalesce(n.season, o.season) AS season,
+       coalesce(n.date, o.date) AS date, coalesce(n.home_id, o.home_id) AS home_id, coalesce(n.away_id, o.away_id) AS away_id,
+       coalesce(n.home_goals, o.home_goals) AS home_goals, coalesce(n.away_goals, o.away_goals) AS away_goals,
+       coalesce(n.home_xg, o.home_xg) AS home_xg, coalesce(n.away_xg, o.away_xg) AS away_xg
+FROM stored o FULL OUTER JOIN arriving n ON n.match_id = o.match_id""")
+oracle("l2_incremental_ratings", """
+SELECT match_id, round(rating_own_home, 6) AS rating_own_home, round(rating_own_away, 6) AS rating_own_away,
+       round(rating_own_home_post, 6) AS rating_own_home_post, round(rating_own_away_post, 6) AS rating_own_away_post FROM own_ratings""")

@@ -25,19 +25,24 @@ def merge_rows(old: DataFrame, new: DataFrame, keys: list[str], order: str | Non
     )
 
 
-def upsert_parquet(spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: list[str], order: str | None = None) -> None:
+def upsert_parquet(
+    spark: SparkSession, path: str, new: DataFrame, keys: list[str], partition: list[str], schema, order: str | None = None
+) -> None:
     """Merges into a partitioned table, rewriting only the partitions the new rows touch.
 
     The merged partitions are written aside first and then swapped in by a dynamic overwrite,
-    because a job must not read the files it replaces.
+    because a job must not read the files it replaces. `schema` keeps partition columns from
+    being guessed from folder names.
     """
     from contestry.functions.bounded import materialise
 
+    new = materialise(new)
     touched = new.select(*partition).distinct()
-    old = spark.read.parquet(path).join(touched, partition, "left_semi")
+    old = spark.read.schema(schema).parquet(path).join(touched, partition, "left_semi")
     merged = materialise(merge_rows(old, new, keys, order).select(*old.columns))
     (
-        merged.write.mode("overwrite")
+        merged.repartition(*partition, F.pmod(F.hash(*keys), F.lit(16)))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition)
         .parquet(path)
