@@ -102,8 +102,13 @@ def fit_cuts(
             "beta": np.zeros((3, d)),
         }
     label = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("result")) - 1
+    # every pass is arithmetic on these few columns, so they are spread evenly once
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = materialise(
-        labelled.select("league_id", "ord", label.cast("int").alias("y"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)])
+        labelled.select(
+            "league_id", "ord", label.cast("int").alias("y"),
+            *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(columns)],
+        ).repartition(spread)
     )
     active = dict(fits)
     for _ in range(MAX_PASSES):

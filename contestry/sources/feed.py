@@ -29,9 +29,7 @@ def feeds_without_list(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def parse_feed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Finished contests with both sides' expected goals; numbers may come as strings."""
-    checked = F.coalesce(
-        _entries("text"), F.from_json(F.raise_error(F.lit("feed without a contest list")), _LIST)
-    )
+    checked = F.coalesce(_entries("text"), F.raise_error(F.lit("feed without a contest list")))
     e = docs.select(*keep, F.explode(checked).alias("e")).filter(F.coalesce("e.isResult", F.lit(False)))
     return e.select(
         *keep,
