@@ -74,11 +74,16 @@ def tau(i: Column, j: Column, lam: Column, mu: Column, rho: Column) -> Column:
     )
 
 
-def with_grid(rows: DataFrame, max_goals: int = 10) -> DataFrame:
-    """Adds `grid`: score probabilities in row-major order, summing to one.
+def _cell(i: int, j: int) -> Column:
+    """Unscaled probability of one score; the four low scores carry the correction."""
+    return F.col(f"__c{i}{j}") if i < 2 and j < 2 else F.col(f"__h{i}") * F.col(f"__a{j}")
+
 
-    Written out cell by cell: plain arithmetic stays in generated code, and each marginal is a
-    column of its own, so it is computed once per row.
+def with_marginals(rows: DataFrame, max_goals: int = 10) -> DataFrame:
+    """Adds the two Poisson marginals, their running sums, the corrected low scores and class sums.
+
+    Written out as plain columns: arithmetic stays in generated code, and what several
+    expressions use is worked out once per row.
     """
     goals = range(max_goals + 1)
     lam, mu, rho = F.col("lam"), F.col("mu"), F.col("rho")
@@ -87,20 +92,38 @@ def with_grid(rows: DataFrame, max_goals: int = 10) -> DataFrame:
         marginals[f"__h{k}"] = F.exp(-lam) * F.pow(lam, F.lit(k)) / F.lit(float(math.factorial(k)))
         marginals[f"__a{k}"] = F.exp(-mu) * F.pow(mu, F.lit(k)) / F.lit(float(math.factorial(k)))
     out = rows.withColumns(marginals)
-    corrected = {}
+    derived = {}
     for i in (0, 1):
         for j in (0, 1):
             factor = tau(F.lit(i), F.lit(j), lam, mu, rho)
-            corrected[f"__c{i}{j}"] = F.greatest(F.col(f"__h{i}") * F.col(f"__a{j}") * factor, F.lit(0.0))
-    out = out.withColumns(corrected)
+            derived[f"__c{i}{j}"] = F.greatest(F.col(f"__h{i}") * F.col(f"__a{j}") * factor, F.lit(0.0))
+    for x in "ha":
+        for k in range(1, max_goals):
+            terms = [F.col(f"__{x}{m}") for m in range(k + 1)]
+            derived[f"__{x}sum{k}"] = sum(terms[1:], terms[0])
+    out = out.withColumns(derived)
+    high = range(2, max_goals + 1)
+    classes = {
+        "__cls_home": sum((F.col(f"__h{i}") * F.col(f"__asum{i - 1}") for i in high), F.col("__c10")),
+        "__cls_draw": sum((F.col(f"__h{i}") * F.col(f"__a{i}") for i in high), F.col("__c00") + F.col("__c11")),
+        "__cls_away": sum((F.col(f"__a{j}") * F.col(f"__hsum{j - 1}") for j in high), F.col("__c01")),
+    }
+    out = out.withColumns(classes)
+    return out.withColumn("__cls_all", F.col("__cls_home") + F.col("__cls_draw") + F.col("__cls_away"))
+
+
+def _without_marginals(frame: DataFrame) -> DataFrame:
+    return frame.drop(*[c for c in frame.columns if c.startswith(("__h", "__a", "__c"))])
+
+
+def _grid(max_goals: int) -> Column:
+    goals = range(max_goals + 1)
+    return F.array(*[_cell(i, j) / F.col("__cls_all") for i in goals for j in goals])
 
-    def cell(i: int, j: int) -> Column:
-        return F.col(f"__c{i}{j}") if i < 2 and j < 2 else F.col(f"__h{i}") * F.col(f"__a{j}")
 
-    cells = [cell(i, j) for i in goals for j in goals]
-    out = out.withColumn("__scale", 1.0 / sum(cells[1:], cells[0]))
-    out = out.withColumn("grid", F.array(*[c * F.col("__scale") for c in cells]))
-    return out.drop("__scale", *marginals, *corrected)
+def with_grid(rows: DataFrame, max_goals: int = 10) -> DataFrame:
+    """Adds `grid`: score probabilities in row-major order, summing to one."""
+    return _without_marginals(with_marginals(rows, max_goals).withColumn("grid", _grid(max_goals)))
 
 
 def grid_rows(rows: DataFrame, keep: list[str], max_goals: int = 10) -> DataFrame:
@@ -118,57 +141,59 @@ def grid_rows(rows: DataFrame, keep: list[str], max_goals: int = 10) -> DataFram
     )
 
 
-def _cells(max_goals: int, wanted) -> Column:
-    side = max_goals + 1
-    picked = [F.col("grid")[i * side + j] for i in range(side) for j in range(side) if wanted(i, j)]
-    return sum(picked[1:], picked[0])
-
-
-def with_outcomes(gridded: DataFrame, max_goals: int = 10, names=("p_home", "p_draw", "p_away")) -> DataFrame:
-    return gridded.withColumns(
-        {
-            names[0]: _cells(max_goals, lambda i, j: i > j),
-            names[1]: _cells(max_goals, lambda i, j: i == j),
-            names[2]: _cells(max_goals, lambda i, j: i < j),
-        }
-    )
-
-
-def with_likely_score(gridded: DataFrame, max_goals: int = 10) -> DataFrame:
+def _likely_score(frame: DataFrame, max_goals: int) -> DataFrame:
     """Most likely score; the first cell in row-major order wins a tie."""
     side = max_goals + 1
-    best = F.array_max("grid")
-    at = F.array_position("grid", best) - 1
-    return gridded.withColumns(
-        {
-            "pred_score": F.concat_ws("-", F.floor(at / side).cast("int"), (at % side).cast("int")),
-            "pred_score_prob": best,
-        }
-    )
+    gridded = frame.withColumn("__cells", _grid(max_goals)).withColumn("pred_score_prob", F.array_max("__cells"))
+    found = gridded.withColumn("__at", F.array_position("__cells", F.col("pred_score_prob")).cast("int") - 1)
+    score = F.concat_ws("-", F.floor(F.col("__at") / side).cast("int"), F.col("__at") % side)
+    return found.withColumn("pred_score", score).drop("__cells", "__at")
 
 
-def conditional_differences(gridded: DataFrame, max_goals: int = 10) -> DataFrame:
-    """Adds goal-difference distributions given a home win and given an away win.
+def _margins(frame: DataFrame, max_goals: int) -> DataFrame:
+    """Goal-difference distributions given a home win and given an away win.
 
     Entry g - 1 is the probability of a margin of g; without any mass the margin is one.
     """
-    side = max_goals + 1
-    out, names = gridded, []
-    for prefix, target, home in (("__hm", "home_margin", True), ("__am", "away_margin", False)):
-        sums = {}
-        for g in range(1, side):
-            picked = [
-                F.col("grid")[(j + g) * side + j if home else j * side + j + g] for j in range(side - g)
-            ]
-            sums[f"{prefix}{g}"] = sum(picked[1:], picked[0])
-        margins = [F.col(n) for n in sums]
-        out = out.withColumns(sums).withColumn(f"{prefix}_t", sum(margins[1:], margins[0]))
-        fallback = F.array(*[F.lit(1.0 if g == 0 else 0.0) for g in range(max_goals)])
-        total = F.col(f"{prefix}_t")
-        shares = F.array(*[F.try_divide(m, total) for m in margins])
-        out = out.withColumn(target, F.when(total > 0, shares).otherwise(fallback))
-        names += [*sums, f"{prefix}_t"]
-    return out.drop(*names)
+    fallback = F.array(*[F.lit(1.0 if g == 0 else 0.0) for g in range(max_goals)])
+    out = {}
+    for name, total, home in (("home_margin", "__cls_home", True), ("away_margin", "__cls_away", False)):
+        sums = []
+        for g in range(1, max_goals + 1):
+            cells = [_cell(j + g, j) if home else _cell(j, j + g) for j in range(max_goals + 1 - g)]
+            sums.append(F.try_divide(sum(cells[1:], cells[0]), F.col(total)))
+        out[name] = F.when(F.col(total) > 0, F.array(*sums)).otherwise(fallback)
+    return frame.withColumns(out)
+
+
+def with_score_columns(rows: DataFrame, max_goals: int = 10, likely: bool = False, margins: bool = False) -> DataFrame:
+    """Adds outcome probabilities to rows with lam, mu and rho; on request likely score, margins."""
+    out = with_marginals(rows, max_goals)
+    out = out.withColumns({f"p_{c}": F.col(f"__cls_{c}") / F.col("__cls_all") for c in ("home", "draw", "away")})
+    if likely:
+        out = _likely_score(out, max_goals)
+    if margins:
+        out = _margins(out, max_goals)
+    return _without_marginals(out)
+
+
+def scored(
+    contests: DataFrame,
+    params: DataFrame,
+    fits: DataFrame,
+    keys: list[str],
+    max_goals: int = 10,
+    likely: bool = False,
+    margins: bool = False,
+) -> DataFrame:
+    """Contests with lam, mu and outcome probabilities, on request likely score and margins.
+
+    A grid depends on the fit and the pairing only, so it is worked out once per distinct
+    pairing, of which a league has at most teams squared, and joined back.
+    """
+    pairings = contests.select(*keys, "home_id", "away_id").distinct()
+    out = with_score_columns(expected_goals(pairings, params, fits, keys), max_goals, likely, margins)
+    return contests.join(out.drop("rho"), [*keys, "home_id", "away_id"])
 
 
 def negative_log_likelihood(rows: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:

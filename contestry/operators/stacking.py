@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,31 +22,41 @@ def true_class_probs(pool: DataFrame, keys: list[str], components: tuple[str, ..
     )
 
 
+def _candidates(ticks: int, size: int) -> list[tuple[int, int]]:
+    """Grid points (i, j) in search order; the last weight is what is left to one."""
+    if size == 2:
+        return [(i, 0) for i in range(ticks + 1)]
+    return [(i, j) for i in range(ticks + 1) for j in range(ticks + 1 - i)]
+
+
 def _grid_losses(rows: DataFrame, keys: list[str], ticks: int, size: int) -> DataFrame:
-    """Mean loss per weight candidate; sums combine per task, so only the grid is shuffled."""
+    """Mean loss per weight candidate.
+
+    A batch of contests meets all candidates in one matrix product, and only the sums per
+    candidate leave the task.
+    """
     step = 1.0 / ticks
-    if size == 2:
-        cand = F.transform(
-            F.sequence(F.lit(0), F.lit(ticks)), lambda i: F.struct(i.alias("i"), F.lit(0).alias("j"))
-        )
-        w = [F.col("c.i") * step, 1.0 - F.col("c.i") * step]
-    else:
-        cand = F.flatten(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(ticks)),
-                lambda i: F.transform(
-                    F.sequence(F.lit(0), F.lit(ticks) - i), lambda j: F.struct(i.alias("i"), j.alias("j"))
-                ),
-            )
-        )
-        w = [F.col("c.i") * step, F.col("c.j") * step, (ticks - F.col("c.i") - F.col("c.j")) * step]
-    blended = sum((wk * F.col(f"q{k}") for k, wk in enumerate(w[1:], start=1)), w[0] * F.col("q0"))
-    loss = -F.ln(F.greatest(blended, F.lit(_LOG_FLOOR)))
-    return (
-        rows.withColumn("c", F.explode(cand))
-        .groupBy(*keys, "c.i", "c.j")
-        .agg(F.avg(loss).alias("loss"))
-    )
+    grid = _candidates(ticks, size)
+    i, j = np.array(grid).T
+    w = np.stack([i * step, 1.0 - i * step] if size == 2 else [i * step, j * step, (ticks - i - j) * step])
+    names = [f"q{k}" for k in range(size)]
+    types = dict(rows.dtypes)
+    head = "".join(f"`{k}` {types[k]}, " for k in keys)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for key, part in b.groupby(keys, sort=False) if keys else [((), b)]:
+                loss = -np.log(np.maximum(part[names].to_numpy(float) @ w, _LOG_FLOOR))
+                acc = sums.setdefault(key, np.zeros(len(grid) + 1))
+                acc[:-1] += loss.sum(axis=0)
+                acc[-1] += len(part)
+        for key, acc in sums.items():
+            fixed = {k: v for k, v in zip(keys, key, strict=True)}
+            yield pd.DataFrame({**fixed, "i": i, "j": j, "s": acc[:-1], "n": acc[-1]})
+
+    parts = rows.select(*keys, *names).mapInPandas(add, f"{head}i int, j int, s double, n double")
+    return parts.groupBy(*keys, "i", "j").agg((F.sum("s") / F.sum("n")).alias("loss"))
 
 
 def optimal_weights(pool: DataFrame, keys: list[str], components: tuple[str, str, str], step: float = 0.05) -> DataFrame:

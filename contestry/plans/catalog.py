@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestry.functions import columns as C
-from contestry.functions.bounded import scratch_dir
+from contestry.functions.bounded import materialise, scratch_dir
 from contestry.operators import aggregates as agg
 from contestry.operators import form, joins, keys, odds, selection
 from contestry.plans.adapt import CURRENT_SEASON, ContestTables, demo_settings
@@ -39,6 +39,17 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, places) + F.lit(0.0) for n in names})
 
 
+_CACHE: dict[tuple, object] = {}
+
+
+def _once(t: ContestTables, name: str, build):
+    """Model inputs shared by several queries of one session are written once."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
 SETTINGS = demo_settings()
 SMALL_LEAGUE = LeagueSettings(teams_per_season=25)
 
@@ -543,7 +554,7 @@ def _(t):
 
 @query("d7_check_suite")
 def _(t):
-    c = with_matchdays(t)
+    c = materialise(with_matchdays(t))
     expected = c.select("league_id").distinct().select("league_id", F.explode(F.array(*[F.lit(s) for s in (*SETTINGS.seasons, "2002")])).alias("season"))
     rated = t.ratings().filter(F.col("team_id") % 5 != 0)
     return agg.check_suite(c, t.side_stats(), t.odds(), rated, expected, SMALL_LEAGUE)
@@ -710,7 +721,7 @@ def _(t):
 
 @query("f5_weakest_teams")
 def _(t):
-    return selection.weakest_teams(t.params(), ["league_id"])
+    return selection.weakest_teams(_params(t), ["league_id"])
 
 
 @query("f6_top_rows")
@@ -754,13 +765,18 @@ from contestry.plans.adapt import HOME_EFFECT, RHO  # noqa: E402
 
 
 def _fits(t: ContestTables) -> DataFrame:
-    return t.contests().select("league_id").distinct().select(
+    return _params(t).select("league_id").distinct().select(
         "league_id", F.lit(HOME_EFFECT).alias("home_effect"), F.lit(RHO).alias("rho")
     )
 
 
+def _params(t: ContestTables) -> DataFrame:
+    """Team strengths as the small stored table a fit leaves behind."""
+    return _once(t, "params", lambda: materialise(t.params()))
+
+
 def _with_goals(t: ContestTables, contests: DataFrame) -> DataFrame:
-    return score_model.expected_goals(contests, t.params(), _fits(t), ["league_id"])
+    return score_model.expected_goals(contests, _params(t), _fits(t), ["league_id"])
 
 
 @query("d19_negative_log_likelihood")
@@ -817,13 +833,13 @@ def _(t):
 
 @query("h14_score_outcomes")
 def _(t):
-    rows = score_model.with_outcomes(score_model.with_grid(_with_goals(t, t.contests())))
+    rows = score_model.scored(t.contests(), _params(t), _fits(t), ["league_id"])
     return rounded(rows.select("match_id", *C.PROBS), *C.PROBS)
 
 
 @query("h15_likely_score")
 def _(t):
-    rows = score_model.with_likely_score(score_model.with_grid(_with_goals(t, t.contests())))
+    rows = score_model.scored(t.contests(), _params(t), _fits(t), ["league_id"], likely=True)
     return rounded(rows.select("match_id", "pred_score", "pred_score_prob"), "pred_score_prob")
 
 
@@ -875,9 +891,8 @@ def _remaining(t: ContestTables) -> tuple[DataFrame, DataFrame]:
     k = F.col("match_id")
     a, b, c = 1 + k % 7, 1 + k % 5, 1 + k % 3
     total = a + b + c
-    preds = future.withColumns({"p_home": a / total, "p_draw": b / total, "p_away": c / total})
-    gridded = score_model.with_grid(_with_goals(t, preds))
-    return score_model.conditional_differences(gridded), past
+    rows = score_model.scored(future, _params(t), _fits(t), ["league_id"], margins=True)
+    return rows.withColumns({"p_home": a / total, "p_draw": b / total, "p_away": c / total}), past
 
 
 def _season_teams(t: ContestTables) -> DataFrame:
@@ -959,7 +974,6 @@ def _(t):
 
 # --- features and models -----------------------------------------------------------------------
 
-from contestry.functions.bounded import materialise  # noqa: E402
 from contestry.operators import calibrate, logit, trees  # noqa: E402
 from contestry.plans import backtest, baselines, walkforward  # noqa: E402
 from contestry.plans.features import build_features  # noqa: E402
@@ -967,17 +981,6 @@ from contestry.settings import TreeSettings  # noqa: E402
 
 # Short boosting runs: the registered queries check properties, not forecast quality.
 LEARN = demo_settings(trees=TreeSettings(rounds=4, learning_rate=0.3, max_depth=3))
-_CACHE: dict[tuple, object] = {}
-
-
-def _once(t: ContestTables, name: str, build):
-    """Model inputs shared by several queries of one session are written once."""
-    key = (t.spark.sparkContext.applicationId, t.folder, name)
-    if key not in _CACHE:
-        _CACHE[key] = build()
-    return _CACHE[key]
-
-
 def _feature_frame(t: ContestTables) -> DataFrame:
     def build():
         base = materialise(with_matchdays(t))

@@ -46,8 +46,7 @@ def score_model_fits(features: DataFrame, folds: DataFrame, settings: Settings,
 
 def score_model_probs(rows: DataFrame, fitted: DataFrame, fit_keys: list[str], max_goals: int) -> DataFrame:
     params, fits = score_model.split_fit(fitted, fit_keys)
-    gridded = score_model.with_grid(score_model.expected_goals(rows, params, fits, fit_keys), max_goals)
-    return score_model.with_outcomes(gridded, max_goals)
+    return score_model.scored(rows, params, fits, fit_keys, max_goals)
 
 
 def tree_columns(features: DataFrame, variant: str) -> list[str]:
@@ -213,11 +212,8 @@ def predict(bundle: Bundle, rows: DataFrame, variant: str) -> DataFrame:
     goals = bundle.settings.models.score.max_goals
     base = with_linear_inputs(rows)
     params, fits = score_model.split_fit(bundle.score_fit, ["league_id"])
-    gridded = score_model.with_grid(score_model.expected_goals(base, params, fits, ["league_id"]), goals)
-    scored = materialise(
-        score_model.conditional_differences(score_model.with_likely_score(score_model.with_outcomes(gridded, goals), goals), goals)
-        .withColumn("scope", F.lit("final"))
-    )
+    scored = score_model.scored(base, params, fits, ["league_id"], goals, likely=True, margins=True)
+    scored = materialise(scored.withColumn("scope", F.lit("final")))
     carry = ["season", "date", "home_id", "away_id"]
     head = ["league_id", "scope", "match_id", *carry, "component", *PROBS]
     raw_score = scored.withColumn("component", F.lit("score_model")).select(*head)

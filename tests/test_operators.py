@@ -182,8 +182,9 @@ def test_score_grid_hand_case(spark):
     for k, v in want.items():
         assert cells[k] == pytest.approx(v, abs=1e-6)
     assert sum(cells.values()) == pytest.approx(1.0)
-    out = score_model.conditional_differences(score_model.with_outcomes(score_model.with_grid(df))).first()
+    out = score_model.with_score_columns(df, likely=True, margins=True).first()
     assert out["p_home"] + out["p_draw"] + out["p_away"] == pytest.approx(1.0)
+    assert out["pred_score"] == "1-0" and out["pred_score_prob"] == pytest.approx(cells[(1, 0)])
     assert sum(out["home_margin"]) == pytest.approx(1.0) and sum(out["away_margin"]) == pytest.approx(1.0)
 
 
