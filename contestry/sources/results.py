@@ -36,8 +36,11 @@ def _text(name: str) -> Column:
 
 
 def _day(name: str) -> Column:
+    """Four-digit years, or two-digit ones read as 1969 to 2068."""
     d = _text(name)
-    return F.coalesce(F.try_to_date(d, "dd/MM/yyyy"), F.try_to_date(d, "dd/MM/yy"))
+    short = F.try_to_date(d, "dd/MM/yy")
+    turned = F.when(F.year(short) > 2068, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(F.try_to_date(d, "dd/MM/yyyy"), turned)
 
 
 def _whole(name: str) -> Column:
