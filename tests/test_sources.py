@@ -19,14 +19,14 @@ def write(tmp_path, name, text, encoding="latin-1"):
 
 
 def test_results_file(spark, tmp_path):
-    path = write(tmp_path, "a.csv", f"{HEAD}\nX,18/08/2018,Alavés,Barça,1,2.0,A,10,,1.5,3.3,4.6,1.4,,4\nX,19/08/18,B,C,0,0,D,1,2,,,,1.4,3,4\n,,,,,,,,,,,,,,\n")
+    path = write(tmp_path, "a.csv", f"{HEAD}\nX,18/08/2018,Málaga,Barça,1,2.0,A,10,,1.5,3.3,4.6,1.4,,4\nX,19/08/18,B,C,0,0,D,1,2,,,,1.4,3,4\n,,,,,,,,,,,,,,\n")
     raw = results.read_results(spark, path)
     rows = results.parse_results(raw).orderBy("date").collect()
     assert [(r["home_name"], r["away_goals"], str(r["date"]), r["away_shots"]) for r in rows] == [
-        ("Alavés", 2, "2018-08-18", None), ("B", 0, "2018-08-19", 2)]
+        ("Málaga", 2, "2018-08-18", None), ("B", 0, "2018-08-19", 2)]
     prices = {(r["HomeTeam"], r["bookmaker"]): r for r in results.price_rows(raw, ("HomeTeam",)).collect()}
-    assert set(prices) == {("Alavés", "bet365"), ("B", "market_avg")}
-    assert prices[("Alavés", "bet365")]["open_d"] == 3.3 and prices[("B", "market_avg")]["open_h"] is None
+    assert set(prices) == {("Málaga", "bet365"), ("B", "market_avg")}
+    assert prices[("Málaga", "bet365")]["open_d"] == 3.3 and prices[("B", "market_avg")]["open_h"] is None
     assert results.invalid_results(raw).count() == 0
 
 
@@ -48,12 +48,12 @@ def page(rows):
 
 
 def test_schedule_page(spark):
-    html = page([("1", "2018-08-18", "Alav&eacute;s", "1.2", "1–2", "2.0", "B"), ("", "", "", "", "", "", ""),
+    html = page([("1", "2018-08-18", "MAlav&eacute;saacute;laga", "1.2", "1–2", "2.0", "B"), ("", "", "", "", "", "", ""),
                  ("2", "2019-05-01", "C", "", "", "", "D"), ("", "2018-08-20", "E", "", "3-0", "", "F")])
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
     rows = schedule.parse_schedule(df, ("page_id",)).orderBy("date").collect()
     assert [(r["matchday"], r["home_name"], r["home_goals"], r["away_goals"], r["home_xg"]) for r in rows] == [
-        (1, "Alavés", 1, 2, 1.2), (None, "E", 3, 0, None)]
+        (1, "Málaga", 1, 2, 1.2), (None, "E", 3, 0, None)]
     odd = spark.createDataFrame([(1, page([("1", "2018-08-18", "A", "", "walkover", "", "B")]))], df.schema)
     with pytest.raises(PySparkException):
         schedule.parse_schedule(odd).collect()
