@@ -48,7 +48,7 @@ def page(rows):
 
 
 def test_schedule_page(spark):
-    html = page([("1", "2018-08-18", "MAlav&eacute;saacute;laga", "1.2", "1–2", "2.0", "B"), ("", "", "", "", "", "", ""),
+    html = page([("1", "2018-08-18", "M&aacute;laga", "1.2", "1–2", "2.0", "B"), ("", "", "", "", "", "", ""),
                  ("2", "2019-05-01", "C", "", "", "", "D"), ("", "2018-08-20", "E", "", "3-0", "", "F")])
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
     rows = schedule.parse_schedule(df, ("page_id",)).orderBy("date").collect()
