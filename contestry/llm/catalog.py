@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from contestry.llm import packing, simhash
+from contestry.llm import packing, rules, simhash, warc
 
 QUERIES = {
+    "op3_quality_rules": rules.op3_quality_rules,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op8_warc": warc.op8_warc,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc": warc.OP8_SQL}
