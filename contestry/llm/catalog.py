@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from contestry.llm import packing, rules, simhash, warc
+from contestry.llm import packing, rules, simhash, substrings, warc
 
 QUERIES = {
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op3_quality_rules": rules.op3_quality_rules,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op8_warc": warc.op8_warc,

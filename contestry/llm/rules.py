@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from contestry.llm.common import batch, rows_of, table, texts, words, written
 
-# Labelled rows that the list is learned from at most: those with the smallest hashes.
+# Labelled rows that the list is learned from, about; chosen by hash.
 SAMPLE = 20_000
 # Distinct thresholds tried per statistic, conditions per rule, rules per list.
 CUTS = 64
@@ -184,12 +184,15 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 7) -> list[Rule]:
 
 
 def sample(stats: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Ratios and low-quality flags of at most `most` labelled rows, those with the smallest hashes."""
+    """Ratios and low-quality flags of about `most` labelled rows (twice that at most), chosen by hash."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    share = 1 << 40
+    take = share * most // max(most, known.count())
     rows = (
-        stats.join(known, "doc_id").select(*[ratio(n).alias(n) for n in NAMES], "quality", F.xxhash64("doc_id").alias("h"), "doc_id")
-        .orderBy("h", "doc_id", *NAMES).limit(most).collect()
+        stats.join(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < take), "doc_id")
+        .select("doc_id", *[ratio(n).alias(n) for n in NAMES], "quality").limit(2 * most).collect()
     )
+    rows.sort()
     x = np.array([[r[n] for n in NAMES] for r in rows], float).reshape(len(rows), len(NAMES))
     return x, np.array([r["quality"] == 0 for r in rows], bool)
 

@@ -25,8 +25,8 @@ SKIPPABLE = 0x184D2A5D
 # Payloads shorter than this are always stored.
 LEAST_REVISIT = 100
 # Payloads the dictionary is trained on at most, bytes taken of each, and its size.
-SAMPLE_PAGES = 2_000
-SAMPLE_BYTES = 16_384
+SAMPLE_PAGES = 1_000
+SAMPLE_BYTES = 8_192
 DICTIONARY_BYTES = 65_536
 # An archive closes once it holds so many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
@@ -34,14 +34,14 @@ EMPTY_DATE = "1970-01-01T00:00:00Z"
 
 
 def dictionary(pages: DataFrame, sample: int = SAMPLE_PAGES, size: int = DICTIONARY_BYTES) -> bytes:
-    """Trained on the `sample` payloads with the smallest hashes; empty if there is too little text."""
-    chosen = (
-        pages.filter(F.length("html") > 0)
-        .select(F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8").alias("body"), F.xxhash64("html").alias("h"))
-        .orderBy("h", "body")
-        .limit(sample)
-    )
-    bodies = [bytes(r["body"]) for r in chosen.collect()]
+    """Trained on about `sample` payloads, chosen by hash; empty if there is too little text."""
+    full = pages.filter(F.length("html") > 0)
+    share = 1 << 40
+    take = share * sample // max(sample, full.count())
+    chosen = full.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(share)) < take).select(
+        F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8").alias("body")
+    ).limit(2 * sample)
+    bodies = sorted(bytes(r["body"]) for r in chosen.collect())
     try:
         return zstandard.train_dictionary(min(size, max(1024, sum(map(len, bodies)) // 8)), bodies).as_bytes()
     except zstandard.ZstdError:
