@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from contestry.llm import packing, rules, simhash, substrings, warc
+from contestry.llm import language, packing, rules, secrets, simhash, substrings, warc
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op3_quality_rules": rules.op3_quality_rules,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op8_warc": warc.op8_warc,
+    "op9_language_id": language.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {"op8_warc": warc.OP8_SQL}
