@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from contestry.llm import language, packing, rules, secrets, simhash, substrings, warc
+from contestry.llm import benchmark, hosts, language, packing, perplexity, rules, secrets, simhash, substrings, warc
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
-    "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op2_quality_classifier": perplexity.op2_quality_classifier,
     "op3_quality_rules": rules.op3_quality_rules,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_benchmark_decontamination": benchmark.op6_benchmark_decontamination,
+    "op7_url_filters": hosts.op7_url_filters,
     "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,

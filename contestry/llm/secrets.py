@@ -112,26 +112,30 @@ def placed(text: Column, matches: Column, kept: Column, kind: int) -> Column:
     return F.when(F.exists(kept, lambda k: k), placed_).otherwise(spans)
 
 
-def scan(documents: DataFrame, model: list[int]) -> DataFrame:
+def scan(documents: DataFrame, model: list[int], whole_rows: bool = False) -> DataFrame:
     """doc_id, text, base and random spans of every row (null text: empty, so none).
 
+    With `whole_rows` also `row`, a struct of all columns the table came with.
+
     A token the models call random adds a span unless it overlaps a base span. Repeated rows repeat.
     """
     text = F.col("text")
-    rows = texts(documents).select(
-        "doc_id", "text", found(text, ASSIGN).alias("m0"), found(text, ASSIGN, 2).alias("v0"),
+    kept = [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")] if whole_rows else []
+    ids = ["doc_id", "text", *["row"] * whole_rows]
+    rows = texts(documents, *kept).select(
+        *ids, found(text, ASSIGN).alias("m0"), found(text, ASSIGN, 2).alias("v0"),
         found(text, ACCESS).alias("m1"), found(text, r"[0-9a-f]{32,}").alias("m2"), found(text, TOKEN).alias("m3"),
     )
     likely = lambda t: (ratio(t, model) >= LEAST_TOTAL) & (ratio(t, model) >= LEAST_MEAN * (F.length(t) - 1))
     flagged = rows.select(
-        "doc_id", "text", "m0", "m1", "m2", "m3",
+        *ids, "m0", "m1", "m2", "m3",
         F.transform("v0", lambda v: F.length(v) >= LEAST_ASSIGN).alias("k0"),
         F.transform("m1", lambda v: F.length(v) >= LEAST_ACCESS).alias("k1"),
         F.transform("m2", lambda v: F.length(v) >= LEAST_HEX).alias("k2"),
         F.transform("m3", likely).alias("k3"),
     )
     spans = flagged.select(
-        "doc_id", "text", *[placed(text, F.col(f"m{k}"), F.col(f"k{k}"), k).alias(f"s{k}") for k in range(4)]
+        *ids, *[placed(text, F.col(f"m{k}"), F.col(f"k{k}"), k).alias(f"s{k}") for k in range(4)]
     )
     base = spans.withColumn("base", F.array_sort(F.concat("s0", "s1", "s2")))
     apart = F.filter("s3", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
