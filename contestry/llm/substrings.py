@@ -21,7 +21,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestry.llm.common import batch, rows_of, table, texts, words, written
+from contestry.llm.common import batch, discard, rows_of, table, texts, words, written
 
 WIDTH = 20
 CORE = 6
@@ -115,12 +115,14 @@ def repeats(rows: DataFrame, width: int = WIDTH, core: int = CORE) -> DataFrame:
 
     whole: an earlier occurrence spells the same path. Otherwise it is the first of its spelling under
     a branching minimizer, and its edges (under `mini`) are still to be compared one by one."""
-    every, _ = written(paths(rows, width, core))
-    repeated = (
+    every, path = written(paths(rows, width, core))
+    # Written, so that both sides of the join are plain shuffles and a hot minimizer can be split.
+    repeated, _ = written(
         every.groupBy("mini").agg(F.count("*").alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1"))
         .filter("c > 1").select("mini", (F.col("l0") != F.col("l1")).alias("branching"))
     )
     hits, _ = written(every.join(repeated, "mini"))
+    discard(rows.sparkSession, path)
     first = hits.groupBy("mini", "label").agg(F.min(F.struct("doc", "tid", "pos")).alias("first"))
     judged = hits.join(first, ["mini", "label"]).withColumn("whole", F.col("first") < F.struct("doc", "tid", "pos"))
     return (
