@@ -9,7 +9,6 @@ calendar day), and fixed-size position buckets that carry the few rows a frame l
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -87,11 +86,9 @@ def with_halo(df: DataFrame, position: str, reach: int, bucket_rows: int) -> Dat
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's spark.checkpoint.dir when it is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(os.environ.get("TMPDIR", "/tmp"), "contestry-scratch")
-    return os.path.join(base, "tables", uuid.uuid4().hex)
+    """Shared folder for cut lineage: the cluster's spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

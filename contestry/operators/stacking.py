@@ -97,9 +97,15 @@ def blend_pair(frame: DataFrame, first: tuple, second: tuple, weight: float) ->
 
 
 def blend(pool: DataFrame, weights: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-    """Weighted sum over components, one row per contest; `carry` columns ride along."""
-    weighted = pool.join(weights.select(*keys, "component", "weight"), [*keys, "component"])
+    """Weighted sum over components, one row per contest; `carry` columns ride along.
+
+    A contest that lacks a weighted component gets null probabilities, not a smaller sum.
+    """
+    needed = weights.groupBy(*keys).agg(F.countDistinct("component").alias("__needed"))
+    sized = weights.select(*keys, "component", "weight").join(needed, keys)
+    weighted = pool.join(sized, [*keys, "component"])
+    whole = F.countDistinct("component") == F.max("__needed")
     return weighted.groupBy(*keys, "match_id").agg(
         *[F.first(c).alias(c) for c in carry],
-        *[F.sum(F.col("weight") * F.col(p)).alias(p) for p in PROBS],
+        *[F.when(whole, F.sum(F.col("weight") * F.col(p))).alias(p) for p in PROBS],
     )

@@ -223,7 +223,7 @@ def _stamp_lines(t: ContestTables) -> DataFrame:
 
 @query("a7_archive_index")
 def _(t):
-    return schedule.newest_stamps(schedule.snapshot_stamps(_stamp_lines(t)), 1000)
+    return schedule.newest_stamps(schedule.snapshot_stamps(_stamp_lines(t)))
 
 
 @query("a7_archive_index_all")
@@ -1220,12 +1220,15 @@ def _(t):
     stored = t.finished().filter(F.col("match_id") % 4 != 0).select(*cols)
     path = scratch_dir(t.spark)
     stored.write.mode("overwrite").partitionBy(*stream_ingest.PARTITIONS).parquet(path)
+    rejects = scratch_dir(t.spark)
     arriving = t.second_source().drop("matchday")
     aliases = materialise(keys.explode_aliases(t.alias_config()))
     stream_ingest.run_ingest(
-        t.spark, _inbox(t, arriving, ["1998-01-01"]), arriving.schema, path, stored.schema, aliases, "schedule", scratch_dir(t.spark)
+        t.spark, _inbox(t, arriving, ["1998-01-01"]), arriving.schema, path, stored.schema, aliases, "schedule", scratch_dir(t.spark), rejects
     )
-    return t.spark.read.schema(stored.schema).parquet(path).select(*cols)
+    done = t.spark.read.schema(stored.schema).parquet(path).select(*cols, F.lit(False).alias("rejected"))
+    refused = t.spark.read.option("recursiveFileLookup", "true").schema(stored.schema).parquet(rejects)
+    return done.unionByName(refused.select(*cols, F.lit(True).alias("rejected")))
 
 
 @query("l2_incremental_ratings")

@@ -302,14 +302,14 @@ SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM eve
 WHERE json_extract_string(props, '$.k') IS NOT NULL""")
 oracle("a6_rating_history", "SELECT team_id, date, rating FROM ratings WHERE date >= DATE '1997-07-01'")
 cte("stamps", "SELECT user_id, event_type, event_id, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events")
-oracle("a7_archive_index", "SELECT DISTINCT stamp FROM stamps WHERE event_id % 10 <> 0 ORDER BY stamp DESC LIMIT 1000")
+oracle("a7_archive_index", "SELECT DISTINCT stamp FROM stamps WHERE event_id % 10 <> 0")
 oracle("a7_archive_index_all", "SELECT DISTINCT user_id, stamp FROM stamps WHERE event_id % 10 <> 0")
 oracle("a8_best_snapshot", """
 SELECT user_id, stamp, has_xg FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY has_xg DESC, stamp DESC) AS pick FROM (
     SELECT user_id, stamp, bool_or(event_type = 'purchase') AS has_xg, bool_and(event_type <> 'error') AS usable,
            row_number() OVER (PARTITION BY user_id ORDER BY stamp DESC) AS rn
-    FROM stamps GROUP BY user_id, stamp) WHERE rn <= 8 AND usable) WHERE pick = 1""")
+    FROM stamps GROUP BY user_id, stamp) WHERE usable) WHERE pick = 1""")
 oracle("a9_feature_snapshot", "SELECT match_id, league_id, season, date - 1 AS as_of_date, result, home_xg FROM labelled")
 oracle("a10_payload", """
 SELECT match_id, 'v1' AS version, CAST(month(date) AS INTEGER) AS month,
@@ -812,8 +812,11 @@ arriving AS (SELECT * FROM second_source WHERE home_id <> 24 AND away_id <> 24)
 SELECT coalesce(n.match_id, o.match_id) AS match_id, coalesce(n.league_id, o.league_id) AS league_id, coalesce(n.season, o.season) AS season,
        coalesce(n.date, o.date) AS date, coalesce(n.home_id, o.home_id) AS home_id, coalesce(n.away_id, o.away_id) AS away_id,
        coalesce(n.home_goals, o.home_goals) AS home_goals, coalesce(n.away_goals, o.away_goals) AS away_goals,
-       coalesce(n.home_xg, o.home_xg) AS home_xg, coalesce(n.away_xg, o.away_xg) AS away_xg
-FROM stored o FULL OUTER JOIN arriving n ON n.match_id = o.match_id""")
+       coalesce(n.home_xg, o.home_xg) AS home_xg, coalesce(n.away_xg, o.away_xg) AS away_xg, false AS rejected
+FROM stored o FULL OUTER JOIN arriving n ON n.match_id = o.match_id
+UNION ALL
+SELECT match_id, league_id, season, date, nullif(home_id, 24), nullif(away_id, 24), home_goals, away_goals, home_xg, away_xg, true
+FROM second_source WHERE home_id = 24 OR away_id = 24""")
 oracle("l2_incremental_ratings", """
 SELECT match_id, round(rating_own_home, 6) AS rating_own_home, round(rating_own_away, 6) AS rating_own_away,
        round(rating_own_home_post, 6) AS rating_own_home_post, round(rating_own_away_post, 6) AS rating_own_away_post FROM own_ratings""")

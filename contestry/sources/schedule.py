@@ -19,7 +19,6 @@ SCORE = r"^(\d+)\s*[–-]\s*(\d+)$"
 STAMP = r"^\d{14}$"
 LINK = r'(?is)<a\b[^>]*\bhref="([^"]*)"'
 HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1>"
-MAX_SNAPSHOTS = 8
 
 
 @F.pandas_udf(T.StringType())
@@ -92,17 +91,18 @@ def snapshot_stamps(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def newest_stamps(stamps: DataFrame, n: int) -> DataFrame:
-    return stamps.orderBy(F.desc("stamp")).limit(n)
+def newest_stamps(stamps: DataFrame, n: int | None = None) -> DataFrame:
+    """Stamps from the newest on; all of them unless `n` is given."""
+    ordered = stamps.orderBy(F.desc("stamp"))
+    return ordered if n is None else ordered.limit(n)
 
 
-def best_snapshot(snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    """Of the newest candidates per key: the newest complete one, else the newest usable one.
-
-    The rank filter lets Spark drop all but the top rows of a key before the shuffle.
-    """
-    w = Window.partitionBy(*keys).orderBy(F.desc("stamp"))
-    tried = snapshots.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= MAX_SNAPSHOTS)
+def best_snapshot(snapshots: DataFrame, keys: list[str], newest: int | None = None) -> DataFrame:
+    """Per key the newest complete snapshot, else the newest usable one; of the `newest` ones if given."""
+    tried = snapshots
+    if newest is not None:
+        w = Window.partitionBy(*keys).orderBy(F.desc("stamp"))
+        tried = snapshots.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= newest)
     return (
         tried.filter("usable")
         .groupBy(*keys)

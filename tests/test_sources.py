@@ -65,7 +65,7 @@ def test_best_snapshot(spark):
     snaps = spark.createDataFrame(rows, "page string, stamp string, has_xg boolean, usable boolean")
     assert schedule.best_snapshot(snaps, ["page"]).first()["stamp"] == "20200101000002"
     far = spark.createDataFrame([("p", f"2020010100000{i}", i == 1, i != 9) for i in range(10)], snaps.schema)
-    assert schedule.best_snapshot(far, ["page"]).first()["stamp"] == "20200101000008"  # only eight are tried
+    assert schedule.best_snapshot(far, ["page"], 8).first()["stamp"] == "20200101000008"  # of the eight newest
 
 
 def test_feed_envelopes(spark):
