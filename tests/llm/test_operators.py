@@ -124,7 +124,7 @@ def test_kneser_ney_sums_to_one(spark):
     rows += [("en", (context << 8) | b, 0) for b in range(256) if (context << 8) | b not in set(keys.tolist())]
     got = perplexity.probabilities(spark.createDataFrame(rows, "lang string, gram long, c long"))
     total = sum(2 ** r["logp"] for r in got.collect() if r["gram"] >> 8 == context)
-    assert abs(total - 1) < 1e-9
+    assert abs(total - 1) < 1e-5  # logarithms are stored in single precision
 
 
 def test_quality_rows(spark, odd):
