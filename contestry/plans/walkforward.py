@@ -24,7 +24,6 @@ COMPONENTS = {
     keys.NO_MARKET: ("score_model", "trees_no_market", "linear"),
 }
 POOL = ["league_id", "season", "match_id", "home_id", "away_id", "component", "candidate", *PROBS, "result"]
-ALL_ROWS = 1_000_000_000
 
 
 def _pool_rows(scored: DataFrame, component: str, candidate=0.0) -> DataFrame:

@@ -104,10 +104,6 @@ def season_status(contests: DataFrame) -> DataFrame:
 # --- model registry ----------------------------------------------------------------------------
 
 
-def registry_row(bundle: dict) -> dict:
-    return {k: bundle[k] for k in ("model_version", "trained_at", "train_window", "metrics_json", "config_json", "artifact_path")}
-
-
 def _promoted():
     return F.coalesce(F.get_json_object("metrics_json", "$.promoted").cast("boolean"), F.lit(True))
 
