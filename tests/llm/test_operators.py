@@ -190,6 +190,15 @@ def test_language(spark, odd):
     assert got == {1: "en", 2: "de", 3: "und", 4: "und"}
 
 
+def test_language_sample(spark):
+    rows = [(k, f"text {k}", "xx" if k % 3 else "yy") for k in range(3000)] + [(9005, "same", "zz")] * 3000 + [(9002, None, "zz"), (9004, "", "zz")]
+    texts, names = language.sample(frame(spark, rows), 50)
+    assert {n: names.count(n) for n in set(names)} == {"xx": 50, "yy": 50, "zz": 1}
+    own = {t: n for _, t, n in rows}
+    assert all(own[t] == n for t, n in zip(texts, names, strict=True))
+    assert (texts, names) == language.sample(frame(spark, rows[::-1]).repartition(7), 50)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     pages = spark.createDataFrame([], "page_id long, url string, html string")
