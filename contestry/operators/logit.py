@@ -132,6 +132,8 @@ def fit_cuts(
             if biggest > TOLERANCE:
                 still[row["fit"]] = fit
         active = still
+    if active:
+        raise RuntimeError(f"{len(active)} logistic fits did not settle in {MAX_PASSES} passes: {sorted(f['key'] for f in active.values())[:5]}")
     return _model_rows(spark, fits)
 
 

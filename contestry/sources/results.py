@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,33 @@ class LayoutError(ValueError):
 
 
 def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Raw text columns; older files are not valid UTF-8, hence the encoding."""
-    raw = spark.read.csv(paths, header=True, encoding="ISO-8859-1", enforceSchema=False)
-    missing = sorted(set(REQUIRED) - set(raw.columns))
-    if missing:
-        raise LayoutError(f"result file lacks the columns {missing}")
+    """Raw text columns by name; older files are not valid UTF-8, hence the encoding.
+
+    Files of different seasons differ in their columns. Those with one header are read together, and
+    a column that a file lacks is null in its rows.
+    """
+    raw = None
+    for group in _by_header(spark, paths):
+        part = spark.read.csv(group, header=True, encoding="ISO-8859-1", enforceSchema=False)
+        missing = sorted(set(REQUIRED) - set(part.columns))
+        if missing:
+            raise LayoutError(f"result file lacks the columns {missing}: {group}")
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
     return raw
 
 
+def _by_header(spark: SparkSession, paths: str | list[str]) -> list[str | list[str]]:
+    """The files in groups of one first line each; the paths as given where there is but one group."""
+    lines = spark.read.option("encoding", "ISO-8859-1").text(paths).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")
+    )
+    first = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "line").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for path, header in sorted(first.collect()):
+        groups.setdefault(header.rstrip("\r"), []).append(unquote(path))
+    return list(groups.values()) if len(groups) > 1 else [paths]
+
+
 def _text(name: str) -> Column:
     return F.trim(F.col(name))
 

@@ -30,6 +30,20 @@ def test_results_file(spark, tmp_path):
     assert results.invalid_results(raw).count() == 0
 
 
+def test_results_files_with_different_headers(spark, tmp_path):
+    short = HEAD.replace(",AvgCH,AvgCD,AvgCA", "").replace("Date,", "Date,Time,")
+    paths = [
+        write(tmp_path, "old season.csv", f"{HEAD}\nX,18/08/2018,A,B,1,2,A,10,,1.5,3.3,4.6,1.4,,4\n"),
+        write(tmp_path, "new.csv", f"{short}\nX,19/08/2019,20:00,C,D,3,0,H,7,8,2.5,3.0,2.6\n"),
+        write(tmp_path, "same.csv", f"{HEAD}\nX,20/08/2018,E,F,0,0,D,1,2,,,,,,\n"),
+    ]
+    raw = results.read_results(spark, paths)
+    rows = {(r["home_name"], r["home_goals"], r["away_shots"]) for r in results.parse_results(raw).collect()}
+    assert rows == {("A", 1, None), ("C", 3, 8), ("E", 0, 2)}
+    prices = {(r["HomeTeam"], r["open_h"], r["close_h"]) for r in results.price_rows(raw, ("HomeTeam",)).filter("bookmaker = 'bet365'").collect()}
+    assert prices == {("A", 1.5, None), ("C", 2.5, None)}
+
+
 def test_results_file_fails_loudly(spark, tmp_path):
     with pytest.raises(results.LayoutError):
         results.read_results(spark, write(tmp_path, "b.csv", "Date,HomeTeam\n1,2\n"))
