@@ -110,25 +110,27 @@ def finished(s: Spelled, spans: list[tuple[int, int]], width: int) -> tuple[int,
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def repeats(rows: DataFrame, width: int = WIDTH, core: int = CORE) -> DataFrame:
-    """Per document with repeats: doc, tid and spans (pos, n edges, whole).
+def repeats(rows: DataFrame, width: int = WIDTH, core: int = CORE) -> tuple[DataFrame, list[str]]:
+    """Per document with repeats: doc, tid and spans (pos, n edges, whole, mini); and the tables it reads.
 
     whole: an earlier occurrence spells the same path. Otherwise it is the first of its spelling under
     a branching minimizer, and its edges (under `mini`) are still to be compared one by one."""
     every, path = written(paths(rows, width, core))
-    # Written, so that both sides of the join are plain shuffles and a hot minimizer can be split.
-    repeated, _ = written(
+    # Written, as `first` is, so that both sides of a join are plain shuffles and a hot key can be split.
+    repeated, repeated_path = written(
         every.groupBy("mini").agg(F.count("*").alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1"))
         .filter("c > 1").select("mini", (F.col("l0") != F.col("l1")).alias("branching"))
     )
-    hits, _ = written(every.join(repeated, "mini"))
-    discard(rows.sparkSession, path)
-    first = hits.groupBy("mini", "label").agg(F.min(F.struct("doc", "tid", "pos")).alias("first"))
+    hits, hits_path = written(every.join(repeated, "mini"))
+    discard(rows.sparkSession, path, repeated_path)
+    first, first_path = written(hits.groupBy("mini", "label").agg(F.min(F.struct("doc", "tid", "pos")).alias("first")))
     judged = hits.join(first, ["mini", "label"]).withColumn("whole", F.col("first") < F.struct("doc", "tid", "pos"))
-    return (
+    # Sets, so that repeated rows of one document add nothing.
+    spans = (
         judged.filter("whole or branching")
-        .groupBy("doc", "tid").agg(F.collect_list(F.struct("pos", "n", "whole", "mini")).alias("spans"))
+        .groupBy("doc", "tid").agg(F.collect_set(F.struct("pos", "n", "whole", "mini")).alias("spans"))
     )
+    return spans, [hits_path, first_path]
 
 
 def remove_repeats(documents: DataFrame, width: int = WIDTH, core: int = CORE) -> DataFrame:
@@ -139,7 +141,8 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, core: int = CORE) -
     Rows without an id come last in the order. An empty table gives no rows.
     """
     rows = keyed(documents)
-    spans = repeats(rows, width, core).select(F.col("doc").alias("d"), F.col("tid").alias("t"), "spans")
+    found, read = repeats(rows, width, core)
+    spans = found.select(F.col("doc").alias("d"), F.col("tid").alias("t"), "spans")
     joined = rows.join(spans, (F.col("doc") == F.col("d")) & (F.col("tid") == F.col("t")), "left").drop("d", "t")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +161,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, core: int = CORE) -
 
     kinds = RESULT + ", doc long, tid int, text string, spans array<struct<pos:int,n:int,whole:boolean,mini:long>>"
     settled, _ = written(joined.mapInArrow(settle, kinds))
+    discard(rows.sparkSession, *read)
     done = settled.filter("doc is null").select("doc_id", "n_words", "n_removed", "kept_sha256")
     open_ = settled.filter("doc is not null").select("doc_id", "doc", "tid", "text", "spans")
 
@@ -173,11 +177,12 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, core: int = CORE) -
                     EDGES,
                 )
 
-    one, _ = written(open_.dropDuplicates(["doc", "tid"]).mapInArrow(edges, "doc long, tid int, pos int, mini long, edge long"))
+    # Repeated rows give equal edges with equal coordinates, which are never later than themselves.
+    one, _ = written(open_.mapInArrow(edges, "doc long, tid int, pos int, mini long, edge long"))
     first = one.groupBy("mini", "edge").agg(F.min(F.struct("doc", "tid", "pos")).alias("first"), F.count("*").alias("c")).filter("c > 1")
     later = (
         one.join(first, ["mini", "edge"]).filter(F.col("first") < F.struct("doc", "tid", "pos"))
-        .groupBy(F.col("doc").alias("d"), F.col("tid").alias("t")).agg(F.collect_list("pos").alias("later"))
+        .groupBy(F.col("doc").alias("d"), F.col("tid").alias("t")).agg(F.collect_set("pos").alias("later"))
     )
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
