@@ -23,6 +23,8 @@ TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 1024
 END = 2
 OPEN_BINS = 512
+# Pieces of a wave for each open bin. More would close bins before a short piece has come.
+WAVE = 2
 # Pieces that one packing task takes in.
 PIECES_PER_TASK = 250_000
 # Text chunks a Python worker remembers, and bytes of new chunks encoded at a time.
@@ -213,17 +215,20 @@ class OpenBins:
 
 
 def pack(parts: DataFrame, limit: int = SEQUENCE, open_bins: int = OPEN_BINS, per_task: int = PIECES_PER_TASK) -> DataFrame:
-    """Adds sequence_id and offset. Each task packs about `per_task` pieces, the longest first.
+    """Adds sequence_id and offset. Each task packs about `per_task` pieces, in waves, the longest of a wave first.
 
-    The order within a task is by length, then doc_id, piece and start, so a repeated task gives
-    the same sequences; ids are the task's number with the bin's number within it.
+    A wave is a share of the task's pieces taken by hash, so long and short ones come together; bins stay
+    open from one wave to the next. The order within a wave is by length, then doc_id, piece and start,
+    so a repeated task gives the same sequences; ids are the task's number with the bin's number within it.
     """
     total = parts.count()
     tasks = max(1, -(-total // per_task))
+    waves = max(1, -(-total // (tasks * WAVE * open_bins)))
     names = parts.columns
-    by = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", "start", "ids_crc32"), F.lit(tasks))
-    dealt = parts.withColumn("__task", by.cast("int")).repartition(tasks, "__task").sortWithinPartitions(
-        "__task", F.desc("length"), "doc_id", "piece", "start", "ids_crc32"
+    key = (F.coalesce("doc_id", F.lit(-1)), "piece", "start", "ids_crc32")
+    by, wave = F.pmod(F.xxhash64(*key), F.lit(tasks)), F.pmod(F.xxhash64(*key, F.lit(WAVE)), F.lit(waves))
+    dealt = parts.withColumn("__task", by.cast("int")).withColumn("__wave", wave).repartition(tasks, "__task").sortWithinPartitions(
+        "__task", "__wave", F.desc("length"), "doc_id", "piece", "start", "ids_crc32"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
