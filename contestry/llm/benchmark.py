@@ -3,12 +3,13 @@
 Numbers, units and names become typed placeholders, so a question with other values has the same
 template. Windows of template words are hash-joined with those of the benchmark. Along a diagonal (the
 same distance between positions) the matching windows form one occurrence, and its slots must agree:
-one benchmark value always stands for the same value of the document.
+one benchmark value always stands for the same value of the document. Two benchmark values may become
+the same one. Where a whole diagonal disagrees, its runs of consecutive windows are judged by themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestry.llm.common import table, texts
@@ -43,14 +44,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit("[-]?\\p{L}+|[-]?\\p{N}[\\p{N}.,]*"), F.lit(0))
 
 
-def windows(rows: DataFrame, id_: str) -> DataFrame:
-    """id, pos, template (hash of WINDOW template words), slots (their values in order)."""
+def windows(rows: DataFrame, *id_: str) -> DataFrame:
+    """ids, pos, template (hash of WINDOW template words), slots (their values in order)."""
     marks = F.array(F.lit(NUMBER), F.lit(UNIT), F.lit(NAME))
     slot = lambda t: F.array_contains(marks, F.substring(t, 1, 1))
-    listed = rows.select(id_, tokens(F.col("text")).alias("words"))
+    listed = rows.select(*id_, tokens(F.col("text")).alias("words"))
     some = F.exists("words", slot)
     shaped = listed.select(
-        id_, "words", some.alias("some"),
+        *id_, "words", some.alias("some"),
         F.when(some, F.transform("words", lambda t: F.when(slot(t), F.substring(t, 1, 1)).otherwise(t))).otherwise(F.col("words")).alias("shape"),
     )
     nothing = F.array().cast("array<string>")
@@ -66,7 +67,7 @@ def windows(rows: DataFrame, id_: str) -> DataFrame:
     enough = (F.size("shape") >= WINDOW) & F.col("some").isNotNull()
     every = F.when(enough, F.transform(F.sequence(F.lit(0), F.size("shape") - WINDOW), one))
     # The outer form: for the plain one Spark would put a filter, with all of this inlined, before the scan.
-    listed = shaped.select(id_, every.alias("windows")).select(id_, F.inline_outer("windows"))
+    listed = shaped.select(*id_, every.alias("windows")).select(*id_, F.inline_outer("windows"))
     return listed.filter("template is not null")
 
 
@@ -74,7 +75,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_
     """doc_id, item_id, n_windows (of the item), n_shared, n_slots, same_values of every contamination.
 
     An item or a document of fewer than WINDOW words has no window and is never reported; neither are
-    null texts and null item ids. Rows with one doc_id count as one document, rows without as one too.
+    null texts and null item ids. Rows with one doc_id count as one document. Rows without are judged each by itself and
+    reported together.
     """
     items = benchmark.filter("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = windows(items, "item_id").filter(F.size("slots") <= WINDOW - LEAST_WORDS)
@@ -82,17 +84,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST_
     asked = known.join(sizes, "item_id").select("item_id", "n_windows", F.col("pos").alias("at"), "template", F.col("slots").alias("values")).distinct()
     if asked.count() <= SENT_WINDOWS:
         asked = F.broadcast(asked)
-    met = windows(texts(documents), "doc_id").join(asked, "template").select(
-        "doc_id", "item_id", "n_windows", "at", (F.col("pos") - F.col("at")).alias("diagonal"), F.arrays_zip("values", "slots").alias("pairs")
+    # Rows without id are told apart by their text; equal ones have equal slots.
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    met = windows(texts(documents).withColumn("row", own), "doc_id", "row").join(asked, "template").select(
+        "doc_id", "row", "item_id", "n_windows", "at", (F.col("pos") - F.col("at")).alias("diagonal"), F.arrays_zip("values", "slots").alias("pairs")
     )
-    shared = met.groupBy("doc_id", "item_id", "n_windows", "diagonal").agg(
-        F.countDistinct("at").alias("n_shared"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    occurrence = ["doc_id", "row", "item_id", "n_windows", "diagonal"]
+    run = F.col("at") - F.dense_rank().over(Window.partitionBy(*occurrence).orderBy("at"))
+    distinct = lambda lists: F.array_distinct(F.flatten(lists))
+    runs = met.withColumn("run", run).groupBy(*occurrence, "run").agg(F.countDistinct("at").alias("n_shared"), distinct(F.collect_set("pairs")).alias("pairs"))
+    shared = runs.groupBy(*occurrence).agg(
+        F.sum("n_shared").alias("n_shared"), distinct(F.collect_list("pairs")).alias("pairs"), F.collect_list(F.struct("n_shared", "pairs")).alias("runs")
     )
-    old, new = F.transform("pairs", lambda p: p["values"]), F.transform("pairs", lambda p: p["slots"])
-    agreed = (F.size(F.array_distinct(old)) == F.size("pairs")) & (F.size(F.array_distinct(new)) == F.size("pairs"))
-    enough = F.col("n_shared") >= F.least(F.lit(least), F.col("n_windows"))
+    need = F.least(F.lit(least), F.col("n_windows"))
+    agreed = lambda n, pairs: (n >= need) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["values"]))) == F.size(pairs))
+    whole = F.array(F.struct("n_shared", "pairs"))
+    found = F.when(agreed(F.col("n_shared"), F.col("pairs")), whole).otherwise(F.filter("runs", lambda r: agreed(r["n_shared"], r["pairs"])))
     return (
-        shared.filter(agreed & enough)
+        shared.select("doc_id", "item_id", "n_windows", F.inline(found))
         .select("doc_id", "item_id", "n_windows", "n_shared", F.size("pairs").alias("n_slots"), F.forall("pairs", lambda p: p["values"] == p["slots"]).alias("same_values"))
         .groupBy("doc_id", "item_id")
         .agg(

@@ -157,6 +157,19 @@ def test_benchmark_templates(spark):
     assert got == {(1, 9, True), (2, 9, False)}  # in document 3 the slots disagree: 5 and 12 for the same 12
 
 
+def test_benchmark_slots_that_meet_or_clash_elsewhere(spark):
+    item = "the old baker gave 3 red and 4 blue marbles to the boy who walked home along the quiet river again"
+    long = "a farmer brought 12 sheep to the wide market near the town and sold them all before noon came then the farmer walked slowly back over the hill and bought 12 hens at the mill"
+    other = long.replace("before noon came", "before evening came").replace("12 sheep", "5 sheep")
+    docs = [
+        (1, item.replace("3 red and 4", "5 red and 5"), "en"), (2, other, "en"),
+        (None, item.replace("3 red", "7 red"), "en"), (None, item.replace("3 red", "8 red"), "en"),
+    ]
+    items = spark.createDataFrame([(1, item), (2, long)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_slots"]) for r in benchmark.contaminated(frame(spark, docs), items).collect()}
+    assert got == {(1, 1, 2), (2, 2, 1), (None, 1, 2)}
+
+
 def test_hosts(spark):
     html = lambda *t: "".join(f'<a href="http://{x}/p">x</a>' for x in t)
     pages = spark.createDataFrame(
