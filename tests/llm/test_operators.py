@@ -144,6 +144,16 @@ def test_quality_rows(spark, odd):
     assert len(got) == odd.count() and all(r["kept"] for r in got)
 
 
+def test_quality_limit_is_a_quantile_of_trusted_documents(spark, monkeypatch):
+    rows = [(k, "en", True, 1000, 2000.0 + 10 * k) for k in range(100)] + [(200, "en", False, 1000, 3100.0), (201, "en", False, 1000, 2050.0)]
+    rows += [(300 + k, "xx", k == 0, 1000, 3000.0) for k in range(5)] + [(310, "xx", False, 1000, 4000.0)]
+    scores = spark.createDataFrame(rows, perplexity.RATED)
+    monkeypatch.setattr(perplexity, "rated", lambda *a: scores)
+    got = {r["doc_id"]: r["kept"] for r in perplexity.judge(None, None).collect()}
+    # One trusted document in a hundred is over; the language of one trusted document takes the pooled share.
+    assert [d for d, kept in got.items() if not kept] == [99, 200, 310] and len(got) == len(rows)
+
+
 def test_benchmark_templates(spark):
     item = "Anna sold 12 kg of apples to the old baker near the river and then walked home again with 12 coins"
     docs = [
