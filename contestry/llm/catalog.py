@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from contestry.llm import benchmark, hosts, language, packing, perplexity, rules, secrets, simhash, substrings, warc
+from contestry.llm import (
+    benchmark,
+    hosts,
+    language,
+    negatives,
+    packing,
+    perplexity,
+    rules,
+    secrets,
+    simhash,
+    substrings,
+    warc,
+)
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,5 +27,6 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_language_id": language.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
 }
-ORACLES: dict[str, str] = {"op8_warc": warc.OP8_SQL}
+ORACLES: dict[str, str] = {"op8_warc": warc.OP8_SQL, "op11_hard_negatives": negatives.OP11_SQL}
