@@ -9,6 +9,7 @@ from contestry.llm import (
     negatives,
     packing,
     perplexity,
+    repair,
     rules,
     secrets,
     simhash,
@@ -28,5 +29,10 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_conversation_repair": repair.op12_conversation_repair,
+}
+ORACLES: dict[str, str] = {
+    "op8_warc": warc.OP8_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_conversation_repair": repair.OP12_SQL,
 }
-ORACLES: dict[str, str] = {"op8_warc": warc.OP8_SQL, "op11_hard_negatives": negatives.OP11_SQL}
