@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contestry.llm import (
     benchmark,
+    exact,
     hosts,
     language,
     negatives,
@@ -30,9 +31,11 @@ QUERIES = {
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_conversation_repair": repair.op12_conversation_repair,
+    "op13_exact_dedup": exact.op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op8_warc": warc.OP8_SQL,
     "op11_hard_negatives": negatives.OP11_SQL,
     "op12_conversation_repair": repair.OP12_SQL,
+    "op13_exact_dedup": exact.OP13_SQL,
 }
