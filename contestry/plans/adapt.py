@@ -48,6 +48,16 @@ class ContestTables:
         self.spark = spark
         self.folder = folder
 
+    def version(self) -> tuple:
+        """Name, length and time of every data file, so that stored results can tell when the data change."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return tuple(sorted(found))
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

@@ -43,8 +43,8 @@ _CACHE: dict[tuple, object] = {}
 
 
 def _once(t: ContestTables, name: str, build):
-    """Model inputs shared by several queries of one session are written once."""
-    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    """Model inputs shared by several queries of one session are written once, as long as the data stay the same."""
+    key = (t.spark.sparkContext.applicationId, t.folder, t.version(), name)
     if key not in _CACHE:
         _CACHE[key] = build()
     return _CACHE[key]
@@ -974,13 +974,11 @@ def _(t):
 
 # --- features and models -----------------------------------------------------------------------
 
-from contestry.operators import calibrate, logit, trees  # noqa: E402
+from contestry.operators import boosting, calibrate, logit, trees  # noqa: E402
 from contestry.plans import backtest, baselines, walkforward  # noqa: E402
 from contestry.plans.features import build_features  # noqa: E402
-from contestry.settings import TreeSettings  # noqa: E402
 
-# Short boosting runs: the registered queries check properties, not forecast quality.
-LEARN = demo_settings(trees=TreeSettings(rounds=4, learning_rate=0.3, max_depth=3))
+LEARN = demo_settings()
 def _feature_frame(t: ContestTables) -> DataFrame:
     def build():
         base = materialise(with_matchdays(t))
@@ -1020,8 +1018,11 @@ def _(t):
 @query("h4_boosted_trees")
 def _(t):
     rows = walkforward.with_linear_inputs(_feature_frame(t)).filter(F.col("result").isNotNull())
-    model = trees.fit_trees(rows.filter(F.col("season") < "2000"), walkforward.tree_columns(rows, keys.NO_MARKET), LEARN.models.trees)
-    return trees.predict_trees(model, rows.filter(F.col("season") >= "2000")).select("match_id", *C.PROBS)
+    columns = walkforward.tree_columns(rows, keys.NO_MARKET)
+    rows = rows.join(logit.season_order(rows), ["league_id", "season"])
+    tests = rows.join(baselines.last_seasons(rows, 3), ["league_id", "season"], "left_semi").withColumn("fold", F.col("season"))
+    cuts = tests.select("league_id", "fold", F.col("ord").alias("cut")).distinct()
+    return boosting.fit_predict(rows, cuts, tests, columns, LEARN.models.trees).select("match_id", *C.PROBS)
 
 
 @query("h5_isotonic")
@@ -1087,7 +1088,8 @@ def _(t):
 
 
 def _backtest(t: ContestTables) -> DataFrame:
-    return _once(t, "backtest", lambda: backtest.run_backtest(_feature_frame(t), LEARN, 3, pool=_pool(t)))
+    # Trees per season: refitting 1,360 of them per round takes over 15 minutes at sf0.01 (README).
+    return _once(t, "backtest", lambda: backtest.run_backtest(_feature_frame(t), LEARN, 3, pool=_pool(t), tree_refit="season"))
 
 
 @query("h20_backtest")
@@ -1113,7 +1115,7 @@ def _tree_parts(t: ContestTables):
     def build():
         rows = walkforward.with_linear_inputs(_feature_frame(t)).filter(F.col("result").isNotNull())
         model = _bundle(t).tree_models[keys.NO_MARKET]
-        return model, materialise(rows.select("match_id", "season", "result", *model.columns))
+        return model, materialise(rows.select("league_id", "match_id", "season", "result", *model.columns))
 
     return _once(t, "tree_parts", build)
 
@@ -1145,6 +1147,12 @@ def _(t):
     return trees.contest_contributions(trees.contribution_rows(_contributions(t), model.columns), newest, "H")
 
 
+@query("j4_swarm")
+def _(t):
+    model, _rows = _tree_parts(t)
+    return trees.swarm(trees.contribution_rows(_contributions(t), model.columns))
+
+
 @query("j4_swarm_values")
 def _(t):
     out = trees.swarm_values(t.finished(), ["home_xg", "away_xg", "home_goals"])

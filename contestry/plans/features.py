@@ -16,6 +16,27 @@ RATING_COLUMNS = (
 CONTEXT_COLUMNS = ("matchday", "month", "no_crowd", "derby", "promoted_home", "promoted_away", "h2h_home_ppg")
 
 
+XG_STATS = tuple(s for s in form.FORM_STATS if "xg" in s)
+
+
+def feature_blocks(cfg: FeatureSettings) -> dict[str, set[str]]:
+    """Columns by the step that makes them, for ablation.
+
+    The form block holds means over all contests and streaks; venue means of points and goals are in no block."""
+
+    def both_sides(names: list[str]) -> set[str]:
+        return {f"{n}_{side}" for n in names for side in ("home", "away")}
+
+    goals = [f"{s}_ma{w}" for s in form.FORM_STATS if s not in XG_STATS for w in cfg.windows]
+    return {
+        "ratings": set(RATING_COLUMNS),
+        "xg": both_sides(form.rolling_columns(cfg.windows, XG_STATS)),
+        "form": both_sides([*goals, "win_streak", "loss_streak"]),
+        "rest": both_sides(["rest_days"]),
+        "context": set(CONTEXT_COLUMNS),
+    }
+
+
 def build_features(
     contests: DataFrame,
     ratings: DataFrame,

@@ -6,7 +6,6 @@ Everything between a fit and a score is one long probability frame:
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from contestry.functions.bounded import materialise
 from contestry.functions.columns import PROBS, first_argmax
-from contestry.operators import aggregates, calibrate, keys, logit, odds, score_model, stacking, trees
+from contestry.operators import aggregates, boosting, calibrate, keys, logit, odds, score_model, stacking, trees
 from contestry.operators.selection import best_candidate
 from contestry.settings import Settings
 
@@ -53,7 +52,7 @@ def tree_columns(features: DataFrame, variant: str) -> list[str]:
     return [c for c in keys.variant_columns(features.columns, variant) if c not in skip]
 
 
-def season_pool(features: DataFrame, settings: Settings, variants=(keys.WITH_MARKET, keys.NO_MARKET), parallel: int = 3) -> DataFrame:
+def season_pool(features: DataFrame, settings: Settings, variants=(keys.WITH_MARKET, keys.NO_MARKET)) -> DataFrame:
     """Out-of-fold pool: each season from the second on, predicted by fits on earlier seasons."""
     known = features.filter(F.col("result").isNotNull())
     order = logit.season_order(known)
@@ -77,18 +76,12 @@ def season_pool(features: DataFrame, settings: Settings, variants=(keys.WITH_MAR
     if keys.WITH_MARKET in variants:
         parts.append(_pool_rows(market, "market"))
 
-    seasons = [r[0] for r in order.select("season").distinct().orderBy("season").collect()]
-
-    def one(job: tuple[str, str]) -> DataFrame:
-        season, variant = job
-        cols = tree_columns(rows, variant)
-        model = trees.fit_trees(rows.filter(F.col("season") < season), cols, settings.models.trees)
-        fold = test.filter(F.col("season") == season)
-        return _pool_rows(trees.predict_trees(model, fold), f"trees_{variant}")
-
-    jobs = [(s, v) for s in seasons[1:] for v in variants]
-    with ThreadPoolExecutor(parallel) as pool:
-        parts += list(pool.map(one, jobs))
+    for v in variants:
+        cols = tree_columns(rows, v)
+        asked = test.select("league_id", F.col("season").alias("fold"), "match_id", *[c for c in cols if c != "season"])
+        found = boosting.fit_predict(rows, folds, asked, cols, settings.models.trees)
+        mine = test.drop(*PROBS).join(found.drop("league_id", "fold"), "match_id")
+        parts.append(_pool_rows(mine, f"trees_{v}"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -134,6 +127,8 @@ def blended(raw: DataFrame, calibrators: DataFrame, weights: DataFrame, variants
     """Calibrated components (per component) and their blends, in one long frame with `model`."""
     scope = ["league_id", "scope"]
     calibrated = calibrate.apply_isotonic(raw, calibrators, [*scope, "component"])
+    plain = raw.join(calibrators.select(*scope, "component"), [*scope, "component"], "left_anti")
+    calibrated = calibrated.select(*raw.columns).unionByName(plain)  # what has no calibrator stays as it is
     out = None
     for v in variants:
         part = calibrated.filter(F.col("component").isin(list(COMPONENTS[v])))
@@ -155,6 +150,25 @@ def market_component(raw_score: DataFrame, rows: DataFrame, calibrators: DataFra
     )
 
 
+def untried(pool: DataFrame, settings: Settings, variants) -> tuple[DataFrame, DataFrame]:
+    """(candidates, weights) for validating a league whose pool is its last season alone.
+
+    Nothing earlier can choose or weigh there: the first candidates and equal weights, uncalibrated."""
+    lone = pool.groupBy("league_id").agg(F.count_distinct("season").alias("n")).filter("n = 1").select("league_id", F.lit("validation").alias("scope"))
+    first = {"score_model": settings.models.score.candidates[0], "linear": settings.models.linear.candidates[0]}
+    names = sorted({c for v in variants for c in COMPONENTS[v]})
+    candidates = F.array(*[F.struct(F.lit(c).alias("component"), F.lit(float(first.get(c, 0.0))).alias("candidate")) for c in names])
+    equal = F.array(
+        *[
+            F.struct(F.lit(v).alias("variant"), F.lit(c).alias("component"), F.lit(1 / len(COMPONENTS[v])).alias("weight"))
+            for v in variants
+            for c in COMPONENTS[v]
+        ]
+    )
+    weights = lone.select("league_id", "scope", F.inline(equal)).withColumn("loss", F.lit(None).cast("double"))
+    return lone.select("league_id", "scope", F.inline(candidates)), weights
+
+
 @dataclass
 class Bundle:
     """A complete training result: small tables, tree models and validation scores."""
@@ -187,6 +201,8 @@ def train(features: DataFrame, settings: Settings, variants=(keys.WITH_MARKET, k
         ),
     )
     chosen, calibrators, weights = calibrate_and_weigh(scoped(pool, scopes), settings, variants)
+    first_chosen, equal = untried(pool, settings, variants)
+    chosen, weights = chosen.unionByName(first_chosen), weights.unionByName(equal)
 
     carry = ["season", "home_id", "away_id", "result"]
     val_pool = pool.join(last.withColumnRenamed("last", "season"), ["league_id", "season"], "left_semi")
