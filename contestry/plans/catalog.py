@@ -13,7 +13,7 @@ from contestry.operators import aggregates as agg
 from contestry.operators import form, joins, keys, odds, selection
 from contestry.plans.adapt import CURRENT_SEASON, ContestTables, demo_settings
 from contestry.settings import LeagueSettings
-from contestry.sources import feed, rating_history, results, schedule, tables
+from contestry.sources import feed, rating_history, results, schedule, tables, versions
 
 Query = Callable[[ContestTables], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,16 +244,21 @@ def _(t):
 def _(t):
     path = scratch_dir(t.spark)
     frame = keys.with_calendar(keys.with_label(t.contests()), SETTINGS.features.no_crowd_seasons)
-    tables.write_snapshot(frame, path)
-    back = t.spark.read.parquet(path)
-    return back.select("match_id", F.col("league_id").cast("long").alias("league_id"), F.col("season").cast("string").alias("season"), "as_of_date", "result", "home_xg")
+    table = versions.feature_table(t.spark, path, frame)
+    table.replace(frame)
+    return table.read().select("match_id", "league_id", "season", "as_of_date", "result", "home_xg")
 
 
 @query("a10_payload")
 def _(t):
     frame = keys.with_calendar(keys.with_label(t.contests()), SETTINGS.features.no_crowd_seasons)
-    rows = tables.payload_rows(frame, ["month", "no_crowd", "home_xg", "result"], "v1")
-    return tables.read_payload(rows, "month int, no_crowd int, home_xg double, result string")
+    columns = [f.name for f in frame.schema if f.name not in ("match_id", "as_of_date")]
+    rows = tables.payload_rows(frame, columns, "v1")
+    table = versions.payload_table(t.spark, scratch_dir(t.spark))
+    table.replace(rows.filter("match_id % 3 = 0").withColumn("payload", F.lit("{}")))
+    table.upsert(rows)  # replaces a third of the payloads, adds the others
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.select(*columns).schema)
+    return tables.read_payload(table.read(), kinds)
 
 
 @query("a11_prediction_log")
@@ -281,6 +286,16 @@ def _(t):
     return tables.merge_rows(_stored_xg(t), new, ["match_id"])
 
 
+@query("a12_versioned_upsert")
+def _(t):
+    new = t.second_source().select("match_id", "home_xg", "away_xg", F.lit("feed").alias("source"))
+    stored = _stored_xg(t)
+    table = versions.VersionedTable(t.spark, scratch_dir(t.spark), stored.schema, ["match_id"], ["source"])
+    table.replace(stored)
+    table.upsert(new)  # contests move from one source's partition to the other's
+    return table.read()
+
+
 @query("a13_provenance_tags")
 def _(t):
     k = F.col("match_id")
@@ -975,7 +990,7 @@ def _(t):
 # --- features and models -----------------------------------------------------------------------
 
 from contestry.operators import boosting, calibrate, logit, trees  # noqa: E402
-from contestry.plans import backtest, baselines, walkforward  # noqa: E402
+from contestry.plans import backtest, baselines, bundles, walkforward  # noqa: E402
 from contestry.plans.features import build_features  # noqa: E402
 
 LEARN = demo_settings()
@@ -1092,6 +1107,19 @@ def _backtest(t: ContestTables) -> DataFrame:
     return _once(t, "backtest", lambda: backtest.run_backtest(_feature_frame(t), LEARN, 3, pool=_pool(t), tree_refit="season"))
 
 
+@query("a15_stored_bundle")
+def _(t):
+    """Predictions of a saved, registered and reloaded bundle, beside those of the bundle in memory."""
+    folder = scratch_dir(t.spark)
+    bundles.register(_bundle(t), f"{folder}/models", f"{folder}/registry", "v1", "2002-01-01", keys.NO_MARKET)
+    rows = _feature_frame(t).filter(F.col("season") == CURRENT_SEASON)
+    again = walkforward.predict(bundles.load_latest(t.spark, f"{folder}/models", f"{folder}/registry"), rows, keys.NO_MARKET)
+    direct = walkforward.predict(_bundle(t), rows, keys.NO_MARKET).select("match_id", *[F.col(p).alias(f"d_{p}") for p in C.PROBS])
+    same = [F.col(p).eqNullSafe(F.col(f"d_{p}")) for p in C.PROBS]
+    out = again.select("match_id", "pred_result", *C.PROBS).join(direct, "match_id", "full")
+    return rounded(out.select("match_id", "pred_result", *C.PROBS, (same[0] & same[1] & same[2]).alias("same")), *C.PROBS)
+
+
 @query("h20_backtest")
 def _(t):
     return rounded(agg.focus_evaluation(_backtest(t), ["league_id", "model", "season"], LEARN.focus_team), *_SCORES, "focus_accuracy")
@@ -1227,14 +1255,15 @@ def _(t):
     cols = ["match_id", "league_id", "season", "date", "home_id", "away_id", "home_goals", "away_goals", "home_xg", "away_xg"]
     stored = t.finished().filter(F.col("match_id") % 4 != 0).select(*cols)
     path = scratch_dir(t.spark)
-    stored.write.mode("overwrite").partitionBy(*stream_ingest.PARTITIONS).parquet(path)
+    stored_table = stream_ingest.contest_table(t.spark, path, stored.schema)
+    stored_table.replace(stored)
     rejects = scratch_dir(t.spark)
     arriving = t.second_source().drop("matchday")
     aliases = materialise(keys.explode_aliases(t.alias_config()))
     stream_ingest.run_ingest(
         t.spark, _inbox(t, arriving, ["1998-01-01"]), arriving.schema, path, stored.schema, aliases, "schedule", scratch_dir(t.spark), rejects
     )
-    done = t.spark.read.schema(stored.schema).parquet(path).select(*cols, F.lit(False).alias("rejected"))
+    done = stored_table.read().select(*cols, F.lit(False).alias("rejected"))
     refused = t.spark.read.option("recursiveFileLookup", "true").schema(stored.schema).parquet(rejects)
     return done.unionByName(refused.select(*cols, F.lit(True).alias("rejected")))
 

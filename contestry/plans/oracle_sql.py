@@ -312,8 +312,8 @@ SELECT user_id, stamp, has_xg FROM (
     FROM stamps GROUP BY user_id, stamp) WHERE usable) WHERE pick = 1""")
 oracle("a9_feature_snapshot", "SELECT match_id, league_id, season, date - 1 AS as_of_date, result, home_xg FROM labelled")
 oracle("a10_payload", """
-SELECT match_id, 'v1' AS version, CAST(month(date) AS INTEGER) AS month,
-       CAST(season = '1997' AS INTEGER) AS no_crowd, home_xg, result FROM labelled""")
+SELECT match_id, 'v1' AS version, league_id, season, date, home_id, away_id, status, home_goals, away_goals, home_xg, away_xg,
+       result, CAST(month(date) AS INTEGER) AS month, CAST(season = '1997' AS INTEGER) AS no_crowd FROM labelled""")
 oracle("a11_prediction_log", """
 SELECT match_id, component, round(p_home, 6) AS p_home, round(p_draw, 6) AS p_draw, round(p_away, 6) AS p_away
 FROM probs WHERE component IN ('score_model', 'third')""")
@@ -321,7 +321,8 @@ cte("stored_xg", """
 SELECT match_id, CASE WHEN match_id % 3 <> 0 THEN home_xg END AS home_xg,
        CASE WHEN match_id % 3 <> 0 THEN away_xg END AS away_xg, 'results' AS source
 FROM contests WHERE status = 'finished' AND match_id % 4 <> 0""")
-oracle("a12_keyed_upsert", """
+for _name in ("a12_keyed_upsert", "a12_versioned_upsert"):
+    oracle(_name, """
 SELECT coalesce(n.match_id, o.match_id) AS match_id, coalesce(n.home_xg, o.home_xg) AS home_xg,
        coalesce(n.away_xg, o.away_xg) AS away_xg, coalesce(n.source, o.source) AS source
 FROM stored_xg o FULL OUTER JOIN (SELECT *, 'feed' AS source FROM second_source) n ON n.match_id = o.match_id""")
