@@ -1,15 +1,15 @@
-"""Own ratings: a sequential update per league, split into time blocks where a league is large.
-
-Each update needs the two teams' ratings after their previous contests, so a league is a chain.
-A league with more rows than a task should hold is cut into blocks by date. All blocks run in
-parallel from assumed start ratings; the ratings at the block borders are then carried forward
-and only blocks whose start moved run again. When no border moves the blocks equal the single
-chain. The update forgets its start geometrically, so few rounds are needed, and never more
-than there are blocks.
+"""Own ratings: a sequential update per league, cut into blocks that run in parallel.
+
+Each update needs the two teams' ratings after their previous contests, so a league is a chain. It is cut
+into blocks of bounded size, in contest order. All blocks run from assumed start ratings; the ratings at
+the block borders are then carried forward, and blocks whose start changed run again, until every border
+is equal to the last bit. Block k is settled after k rounds at the latest, mostly much sooner, and the
+result is that of the single chain, whatever the block size. A league of one block has no border.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,130 +18,97 @@ from contestry.functions.bounded import materialise
 from contestry.settings import RatingSettings
 
 BLOCK_ROWS = 1_000_000
-TOLERANCE = 1e-9
+POSTS = ("rating_own_home_post", "rating_own_away_post")
+RATINGS = ("rating_own_home", "rating_own_away", *POSTS)
 _BLOCK = ["league_id", "block"]
 
 
-def _walk(rows: pd.DataFrame, ratings: dict, cfg: RatingSettings) -> pd.DataFrame:
-    """One pass over contests in (date, match_id) order; `ratings` holds the state and is updated."""
-    rows = rows.sort_values(["date", "match_id"], kind="stable")
-    k, edge, initial = cfg.k, cfg.home_advantage, cfg.initial
-    pre_h, pre_a, post_h, post_a = [], [], [], []
-    goals = zip(rows["home_id"], rows["away_id"], rows["home_goals"], rows["away_goals"], strict=True)
-    for home, away, hg, ag in goals:
-        rh, ra = ratings.get(home, initial), ratings.get(away, initial)
-        pre_h.append(rh)
-        pre_a.append(ra)
-        if pd.isna(hg) or pd.isna(ag):
-            post_h.append(None)
-            post_a.append(None)
-            continue
-        expected = 1.0 / (1.0 + 10.0 ** (-((rh + edge) - ra) / 400.0))
-        score = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
-        delta = k * (score - expected)
-        ratings[home], ratings[away] = rh + delta, ra - delta
-        post_h.append(ratings[home])
-        post_a.append(ratings[away])
-    return pd.DataFrame(
-        {
-            "league_id": rows["league_id"],
-            "match_id": rows["match_id"],
-            "rating_own_home": pd.Series(pre_h, index=rows.index, dtype="float64"),
-            "rating_own_away": pd.Series(pre_a, index=rows.index, dtype="float64"),
-            "rating_own_home_post": pd.Series(post_h, index=rows.index, dtype="float64"),
-            "rating_own_away_post": pd.Series(post_a, index=rows.index, dtype="float64"),
-        }
-    )
-
-
-def _state(start: pd.DataFrame) -> dict:
-    return dict(zip(start["team_id"], start["rating"], strict=True))
-
-
-def _nan_to_null(df: DataFrame) -> DataFrame:
-    posts = ("rating_own_home_post", "rating_own_away_post")
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in posts})
+def chain(rows: pd.DataFrame, start: pd.DataFrame, cfg: RatingSettings) -> tuple[np.ndarray, pd.Series]:
+    """Ratings before and after each row (by row: home, away, home after, away after), and the last of each team.
+
+    Rows are in contest order; `start` (team_id, rating) holds what is known before them. A row without
+    goals changes nothing and has no ratings after it."""
+    teams, names = pd.factorize(np.r_[rows["home_id"].to_numpy(), rows["away_id"].to_numpy()])
+    known = dict(zip(start["team_id"], start["rating"], strict=True))
+    level = [float(known.get(name, cfg.initial)) for name in names]
+    n = len(rows)
+    margin = rows["home_goals"].to_numpy(float) - rows["away_goals"].to_numpy(float)
+    points = np.where(margin > 0, 1.0, np.where(margin == 0, 0.5, 0.0))
+    out = np.full((n, 4), np.nan)
+    played = ~np.isnan(margin)
+    for k, (home, away) in enumerate(zip(teams[:n].tolist(), teams[n:].tolist(), strict=True)):
+        before = level[home], level[away]
+        out[k, :2] = before
+        if played[k]:
+            gap = before[0] + cfg.home_advantage - before[1]
+            gain = cfg.k * (points[k] - 1.0 / (1.0 + 10.0 ** (-gap / 400.0)))
+            level[home], level[away] = before[0] + gain, before[1] - gain
+            out[k, 2:] = level[home], level[away]
+    return out, pd.Series(level, index=names, dtype="float64")
 
 
 def with_blocks(contests: DataFrame, block_rows: int) -> DataFrame:
-    """Block number per contest: earlier contests of the league divided by the block size."""
+    """Block number per contest: the league's contests before it, divided by the block size; a day may be cut."""
     daily = contests.groupBy("league_id", "date").agg(F.count("*").alias("n"))
     w = Window.partitionBy("league_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = daily.select(
-        "league_id", "date",
-        F.floor(F.coalesce(F.sum("n").over(w), F.lit(0)) / block_rows).cast("int").alias("block"),
-    )
-    return contests.join(blocks, ["league_id", "date"])
+    upto = daily.select("league_id", "date", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__before"))
+    of_day = F.row_number().over(Window.partitionBy("league_id", "date").orderBy("match_id")) - 1
+    placed = contests.withColumn("__day", of_day).join(upto, ["league_id", "date"])
+    return placed.withColumn("block", F.floor((F.col("__before") + F.col("__day")) / block_rows).cast("int")).drop("__before", "__day")
 
 
-def own_ratings(
-    contests: DataFrame, cfg: RatingSettings, block_rows: int = BLOCK_ROWS, tolerance: float = TOLERANCE
-) -> DataFrame:
-    """Ratings before and after every contest; unplayed contests get the ratings before only."""
-    need = contests.select("league_id", "match_id", "date", "home_id", "away_id", "home_goals", "away_goals")
-    match_type = contests.schema["match_id"].dataType.simpleString()
-    team_type = contests.schema["home_id"].dataType.simpleString()
-    out_schema = (
-        f"league_id bigint, match_id {match_type}, rating_own_home double, rating_own_away double, "
-        "rating_own_home_post double, rating_own_away_post double"
-    )
-    largest = contests.groupBy("league_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= block_rows:
-        return _nan_to_null(
-            need.groupBy("league_id").applyInPandas(lambda rows: _walk(rows, {}, cfg), out_schema)
-        )
+def own_ratings(contests: DataFrame, cfg: RatingSettings, block_rows: int = BLOCK_ROWS, start: DataFrame | None = None) -> DataFrame:
+    """Ratings before and after every contest; unplayed contests get the ratings before only.
 
-    blocked = materialise(with_blocks(need, block_rows))
+    `start` (league_id, team_id, rating): ratings known before the first contest."""
+    need = contests.select("league_id", "match_id", "date", "home_id", "away_id", "home_goals", "away_goals")
+    match_type, team_type = (contests.schema[c].dataType.simpleString() for c in ("match_id", "home_id"))
+    out_schema = f"league_id bigint, match_id {match_type}, {', '.join(f'{c} double' for c in RATINGS)}"
     state_schema = f"league_id bigint, block int, team_id {team_type}, rating double"
+    spark = contests.sparkSession
+    first = start if start is not None else spark.createDataFrame([], "league_id bigint, team_id int, rating double")
+    first = first.select("league_id", F.lit(0).alias("block"), F.col("team_id").cast(team_type).alias("team_id"), "rating")
+
+    def full(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["date", "match_id"], kind="stable")
+        values, _ = chain(rows, known, cfg)
+        return pd.DataFrame({"league_id": rows["league_id"].to_numpy(), "match_id": rows["match_id"].to_numpy(), **dict(zip(RATINGS, values.T, strict=True))})
 
-    def ends(key: tuple, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        ratings = _state(start)
-        if len(rows):
-            _walk(rows, ratings, cfg)
-        played = set(rows["home_id"]) | set(rows["away_id"])
-        moved = {t: r for t, r in ratings.items() if t in played}
-        return pd.DataFrame(
-            {
-                "league_id": pd.Series([key[0]] * len(moved), dtype="int64"),
-                "block": pd.Series([key[1]] * len(moved), dtype="int32"),
-                "team_id": list(moved),
-                "rating": pd.Series(list(moved.values()), dtype="float64"),
-            }
-        )
-
-    def full(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        return _walk(rows, _state(start), cfg)
-
-    def run(rows: DataFrame, start: DataFrame, fn, schema: str) -> DataFrame:
-        grouped = rows.groupBy(*_BLOCK).cogroup(start.groupBy(*_BLOCK))
-        return grouped.applyInPandas(fn, schema)
+    def ends(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        _, last = chain(rows.sort_values(["date", "match_id"], kind="stable"), known, cfg)
+        head = {"league_id": np.full(len(last), key[0]), "block": np.full(len(last), key[1], np.int32)}
+        return pd.DataFrame({**head, "team_id": last.index.to_numpy(), "rating": last.to_numpy()})
 
+    def run(rows: DataFrame, known: DataFrame, fn, schema: str) -> DataFrame:
+        return rows.groupBy(*_BLOCK).cogroup(known.groupBy(*_BLOCK)).applyInPandas(fn, schema)
+
+    def told(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in POSTS})
+
+    largest = need.groupBy("league_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= block_rows:  # one block a league, so no border to settle
+        return told(run(need.withColumn("block", F.lit(0)), first, full, out_schema))
+    blocked = materialise(with_blocks(need, block_rows))
     blocks = materialise(blocked.select(*_BLOCK).distinct())
-    teams = materialise(
-        blocked.select("league_id", F.explode(F.array("home_id", "away_id")).alias("team_id")).distinct()
-    )
-    start = blocked.sparkSession.createDataFrame([], state_schema)
-    todo = blocks
-    finals = None
-    order = Window.partitionBy("league_id", "team_id").orderBy("block")
+    teams = blocked.select("league_id", F.explode(F.array("home_id", "away_id")).alias("team_id"))
+    grid = materialise(blocks.join(teams.union(first.select("league_id", "team_id")).distinct(), "league_id"))
+    finals = materialise(run(blocked, first, ends, state_schema))
+    known = first
+    order = Window.partitionBy("league_id", "team_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        fresh = run(blocked.join(todo, _BLOCK, "left_semi"), start.join(todo, _BLOCK, "left_semi"), ends, state_schema)
-        kept = fresh if finals is None else finals.join(todo, _BLOCK, "left_anti").unionByName(fresh)
-        finals = materialise(kept)
-        held = blocks.join(teams, "league_id").join(finals, [*_BLOCK, "team_id"], "left")
-        carried = held.withColumn(
-            "rating", F.last("rating", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-        ).filter(F.col("rating").isNotNull())
-        new_start = materialise(carried.select(*_BLOCK, "team_id", "rating"))
-        old = start.withColumnRenamed("rating", "old")
-        moved = new_start.join(old, [*_BLOCK, "team_id"], "left").filter(
-            F.col("old").isNull() | (F.abs(F.col("rating") - F.col("old")) > tolerance)
-        )
+        left = grid.join(finals, [*_BLOCK, "team_id"], "left")
+        base = first.select("league_id", "team_id", F.col("rating").alias("__first"))
+        carried = left.withColumn("rating", F.last("rating", ignorenulls=True).over(order)).join(base, ["league_id", "team_id"], "left")
+        carried = carried.select(*_BLOCK, "team_id", F.coalesce("rating", "__first").alias("rating")).filter("rating is not null")
+        new = materialise(carried)
+        old = known.withColumnRenamed("rating", "__old")
+        moved = new.join(old, [*_BLOCK, "team_id"], "left").filter("not (rating <=> __old)")
         todo = materialise(moved.select(*_BLOCK).distinct())
-        start = new_start
+        known = new
         if todo.isEmpty():
-            break
-    return _nan_to_null(run(blocked, start, full, out_schema))
+            return told(run(blocked, known, full, out_schema))
+        again = run(blocked.join(todo, _BLOCK, "left_semi"), known.join(todo, _BLOCK, "left_semi"), ends, state_schema)
+        finals = materialise(finals.join(todo, _BLOCK, "left_anti").unionByName(again))
 
 
 def rating_log(contests: DataFrame, ratings: DataFrame) -> DataFrame:
