@@ -25,7 +25,7 @@ def feature_blocks(cfg: FeatureSettings) -> dict[str, set[str]]:
     The form block holds means over all contests and streaks; venue means of points and goals are in no block."""
 
     def both_sides(names: list[str]) -> set[str]:
-        return {f"{n}_{side}" for n in names for side in ("home", "away")}
+        return {f"{side}_{n}" for n in names for side in ("home", "away")}
 
     goals = [f"{s}_ma{w}" for s in form.FORM_STATS if s not in XG_STATS for w in cfg.windows]
     return {
