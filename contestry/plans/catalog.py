@@ -1103,7 +1103,7 @@ def _(t):
 
 
 def _backtest(t: ContestTables) -> DataFrame:
-    # Trees per season: refitting 1,360 of them per round takes over 15 minutes at sf0.01 (README).
+    # Trees per season: about 1,360 refits, one per round, take some ten minutes at sf0.01 (README).
     return _once(t, "backtest", lambda: backtest.run_backtest(_feature_frame(t), LEARN, 3, pool=_pool(t), tree_refit="season"))
 
 
