@@ -34,16 +34,19 @@ def chain(rows: pd.DataFrame, start: pd.DataFrame, cfg: RatingSettings) -> tuple
     n = len(rows)
     margin = rows["home_goals"].to_numpy(float) - rows["away_goals"].to_numpy(float)
     points = np.where(margin > 0, 1.0, np.where(margin == 0, 0.5, 0.0))
-    out = np.full((n, 4), np.nan)
-    played = ~np.isnan(margin)
-    for k, (home, away) in enumerate(zip(teams[:n].tolist(), teams[n:].tolist(), strict=True)):
+    out = []
+    unknown = (np.nan, np.nan)
+    sides = zip(teams[:n].tolist(), teams[n:].tolist(), np.where(np.isnan(margin), np.nan, points).tolist(), strict=True)
+    for home, away, won in sides:
         before = level[home], level[away]
-        out[k, :2] = before
-        if played[k]:
-            gap = before[0] + cfg.home_advantage - before[1]
-            gain = cfg.k * (points[k] - 1.0 / (1.0 + 10.0 ** (-gap / 400.0)))
-            level[home], level[away] = before[0] + gain, before[1] - gain
-            out[k, 2:] = level[home], level[away]
+        if won != won:
+            out.append(before + unknown)
+            continue
+        gap = before[0] + cfg.home_advantage - before[1]
+        gain = cfg.k * (won - 1.0 / (1.0 + 10.0 ** (-gap / 400.0)))
+        level[home], level[away] = before[0] + gain, before[1] - gain
+        out.append((*before, level[home], level[away]))
+    out = np.array(out, float).reshape(n, 4)
     return out, pd.Series(level, index=names, dtype="float64")
 
 
@@ -86,7 +89,10 @@ def own_ratings(contests: DataFrame, cfg: RatingSettings, block_rows: int = BLOC
         return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in POSTS})
 
     largest = need.groupBy("league_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= block_rows:  # one block a league, so no border to settle
+    if largest <= block_rows and start is None:  # one block a league, so no border to settle
+        nothing = pd.DataFrame({"team_id": [], "rating": []})
+        return told(need.groupBy("league_id").applyInPandas(lambda rows: full(rows, nothing), out_schema))
+    if largest <= block_rows:
         return told(run(need.withColumn("block", F.lit(0)), first, full, out_schema))
     blocked = materialise(with_blocks(need, block_rows))
     blocks = materialise(blocked.select(*_BLOCK).distinct())
