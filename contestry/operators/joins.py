@@ -111,6 +111,22 @@ def unknown_names(rows: DataFrame, aliases: DataFrame, source: str, columns: lis
     return seen.join(names, "name", "left_anti")
 
 
+class UnknownNames(ValueError):
+    """Spellings that no team has in a source, all of them."""
+
+    def __init__(self, source: str, names: list[str]):
+        super().__init__(f"{len(names)} names of source {source} belong to no team: {', '.join(names)}")
+        self.source, self.names = source, names
+
+
+def require_known(rows: DataFrame, aliases: DataFrame, source: str, columns: list[str]) -> None:
+    """Raises UnknownNames with every unknown spelling, sorted; null names are not looked up."""
+    found = unknown_names(rows, aliases, source, columns).filter("name is not null")
+    names = found.agg(F.sort_array(F.collect_set("name")).alias("names")).first()["names"]
+    if names:
+        raise UnknownNames(source, names)
+
+
 def reconcile(
     base: DataFrame, other: DataFrame, key: str = "match_id", missing_is_error: bool = True
 ) -> DataFrame:
