@@ -150,6 +150,23 @@ def reconcile(
     return checked.filter(F.col("violation").isNotNull()).drop("__known")
 
 
+class Contradiction(ValueError):
+    """Rows of a source that contradict what is stored; `n` of them, the first ones as examples."""
+
+    def __init__(self, n: int, examples: list[tuple]):
+        told = "; ".join(f"{match} ({why})" for match, why in examples)
+        super().__init__(f"{n} rows contradict the stored contests: {told}")
+        self.n, self.examples = n, examples
+
+
+def require_agreement(violations: DataFrame, shown: int = 20) -> None:
+    """Raises Contradiction if reconcile() found rows; the count is whole, the message holds the first by match_id."""
+    n = violations.count()
+    if n:
+        first = violations.select("match_id", "violation").orderBy("match_id", "violation").limit(shown).collect()
+        raise Contradiction(n, [tuple(r) for r in first])
+
+
 def official_matchdays(contests: DataFrame, schedule: DataFrame) -> DataFrame:
     """The official matchday replaces the counted one wherever it is known."""
     official = (
@@ -193,8 +210,8 @@ def fill_missing_xg(contests: DataFrame, filler: DataFrame, tag: str) -> DataFra
     )
 
 
-def promoted_flags(contests: DataFrame) -> DataFrame:
-    """Team absent from the league's previous present season; 0 in the first season."""
+def team_promotions(contests: DataFrame) -> DataFrame:
+    """Per league, season and team a flag: absent from the league's previous present season; 0 in the first season."""
     team_seasons = contests.select(
         "league_id", "season", F.explode(F.array("home_id", "away_id")).alias("team")
     ).distinct()
@@ -203,7 +220,7 @@ def promoted_flags(contests: DataFrame) -> DataFrame:
         "prev", F.lag("season").over(order)
     )
     before = team_seasons.select("league_id", F.col("season").alias("prev"), "team", F.lit(1).alias("__was"))
-    flags = (
+    return (
         team_seasons.join(seasons, ["league_id", "season"])
         .join(before, ["league_id", "prev", "team"], "left")
         .select(
@@ -211,6 +228,11 @@ def promoted_flags(contests: DataFrame) -> DataFrame:
             F.when(F.col("prev").isNull() | F.col("__was").isNotNull(), 0).otherwise(1).alias("flag"),
         )
     )
+
+
+def promoted_flags(contests: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+    """Both teams' promotion flags, from the contests' own teams or from known `flags` (team_promotions)."""
+    flags = team_promotions(contests) if flags is None else flags
     home = flags.select("league_id", "season", F.col("team").alias("home_id"), F.col("flag").alias("promoted_home"))
     away = flags.select("league_id", "season", F.col("team").alias("away_id"), F.col("flag").alias("promoted_away"))
     return contests.join(home, ["league_id", "season", "home_id"]).join(

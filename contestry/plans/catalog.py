@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contestry.functions import columns as C
 from contestry.functions.bounded import materialise, scratch_dir
@@ -1131,6 +1132,7 @@ from contestry.operators import tables as shown  # noqa: E402
 from contestry.plans import ablation, projection  # noqa: E402
 from contestry.streaming import ingest as stream_ingest  # noqa: E402
 from contestry.streaming import ratings as stream_ratings  # noqa: E402
+from contestry.streaming import refresh as stream_refresh  # noqa: E402
 
 
 @query("i7_projection")
@@ -1268,6 +1270,43 @@ def _(t):
     return done.unionByName(refused.select(*cols, F.lit(True).alias("rejected")))
 
 
+@query("l1_reconciled_ingest")
+def _(t):
+    """A second source joins the stored contests only where it agrees with them; what contradicts is told apart."""
+    cols = ["match_id", "league_id", "season", "date", "home_id", "away_id", "home_goals", "away_goals", "home_xg", "away_xg"]
+    empty = F.lit(None).cast("double")
+    stored = t.finished().filter(F.col("match_id") % 40 != 3).select(*cols[:-2], empty.alias("home_xg"), empty.alias("away_xg"))
+    path, rejects = scratch_dir(t.spark), scratch_dir(t.spark)
+    stored_table = stream_ingest.contest_table(t.spark, path, stored.schema)
+    stored_table.replace(stored)
+    arriving = t.second_source().drop("matchday")
+    aliases = materialise(keys.explode_aliases(t.alias_config()))
+    stream_ingest.run_ingest(
+        t.spark, _inbox(t, arriving, ["1995-01-01"]), arriving.schema, path, stored.schema, aliases, "schedule", scratch_dir(t.spark), rejects,
+        agreeing=True,
+    )
+    done = stored_table.read().select(*cols, F.lit(None).cast("string").alias("violation"))
+    told = T.StructType([*stored.schema, T.StructField("violation", T.StringType())])
+    refused = t.spark.read.option("recursiveFileLookup", "true").schema(told).parquet(rejects)
+    return done.unionByName(refused.select(*cols, "violation"))
+
+
+@query("l1_feature_refresh")
+def _(t):
+    """Features after three batches: most contests, late ones, then corrected results and moved days."""
+    k, goals = F.col("match_id"), F.col("home_goals")
+    rows = materialise(t.contests())
+    fixed = rows.withColumns({"home_goals": F.when(k % 97 == 0, goals + 1).otherwise(goals), "date": F.when(k % 89 == 0, F.date_add("date", 3)).otherwise(F.col("date"))})
+    batches = [rows.filter(k % 50 != 7), rows.filter(k % 50 == 7), fixed.filter((k % 97 == 0) | (k % 89 == 0))]
+    ratings, prices = materialise(t.ratings()), materialise(t.odds())
+    state = stream_refresh.FeatureState(t.spark, scratch_dir(t.spark), rows.schema, ratings, prices, LEARN.features)
+    for n, batch in enumerate(batches):
+        state.apply(lambda table, b=batch, tag=f"batch{n}": table.upsert(b, tag=tag), f"batch{n}")
+    out = state.features.read()
+    out = out.select("match_id", "league_id", "season", "as_of_date", "result", *keys.feature_columns(out.columns))
+    return rounded(out, "rating_own_home", "rating_own_away", "rating_own_diff", *keys.MARKET_COLUMNS, "h2h_home_ppg")
+
+
 @query("l2_incremental_ratings")
 def _(t):
     rows = t.contests().select("league_id", "match_id", "date", "home_id", "away_id", "home_goals", "away_goals")

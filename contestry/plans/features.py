@@ -44,9 +44,14 @@ def build_features(
     cfg: FeatureSettings,
     include_scheduled: bool = False,
     mode: str = "auto",
+    own: DataFrame | None = None,
+    promotions: DataFrame | None = None,
 ) -> DataFrame:
     """Lazy feature frame; persisting it is a separate step.
 
+    A contest's features come from all contests of its two teams, apart from own ratings and promotions, which
+    depend on the whole league. Where `contests` are only some teams' histories, those two have to be given.
+
     The blocks meet on match_id after each has been folded to one row per contest, so every
     block is shuffled once on its own key and once on the contest. `contests` should be a stored
     table: each block reads only the columns it needs from it.
@@ -56,12 +61,13 @@ def build_features(
         keys.with_calendar(keys.with_label(form.head_to_head(base, cfg.h2h_window, mode)), cfg.no_crowd_seasons),
         cfg.derbies,
     )
-    context = joins.promoted_flags(context)
+    context = joins.promoted_flags(context, promotions)
     sides = form.side_form(form.side_rows(base), cfg.windows, mode=mode)
     folded = form.fold_to_contests(
         sides, [*form.rolling_columns(cfg.windows), "rest_days", "win_streak", "loss_streak"]
     )
-    own = own_ratings(base, cfg.rating).select("match_id", "rating_own_home", "rating_own_away")
+    own = own_ratings(base, cfg.rating) if own is None else own
+    own = own.select("match_id", "rating_own_home", "rating_own_away")
     external = joins.external_ratings(base, ratings)
     market = odds.opening_probabilities(prices)
     out = (

@@ -8,6 +8,8 @@ from contestry.plans.adapt import BOOKMAKERS, FIRST_SEASON, LEG_STEPS, SCHEDULED
 
 _CTES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
+# Per statement: tables that it sees otherwise.
+_CHANGED: dict[str, dict[str, str]] = {}
 
 
 def cte(name: str, sql: str) -> None:
@@ -24,14 +26,16 @@ def _needed(sql: str) -> list[str]:
     return found[::-1]
 
 
-def compose(sql: str, recursive: bool = False) -> str:
+def compose(sql: str, recursive: bool = False, changed: dict[str, str] | None = None) -> str:
+    """The statement behind the tables it needs; `changed` states some of them otherwise, by their own name."""
     order = _needed(sql)
+    bodies = {**_CTES, **(changed or {})}
     if not order:
         return sql.strip()
     head = "WITH RECURSIVE " if recursive else "WITH "
     body = sql.strip()
     body = "," + body[4:] if body.startswith("WITH ") else body
-    return head + ",\n".join(f"{n} AS ({_CTES[n]})" for n in order) + "\n" + body
+    return head + ",\n".join(f"{n} AS ({bodies[n]})" for n in order) + "\n" + body
 
 
 def oracle(name: str, sql: str) -> None:
@@ -39,7 +43,7 @@ def oracle(name: str, sql: str) -> None:
 
 
 def all_oracles() -> dict[str, str]:
-    return {n: compose(s, recursive="rating_steps" in _needed(s)) for n, s in ORACLES.items()}
+    return {n: compose(s, "rating_steps" in _needed(s), _CHANGED.get(n)) for n, s in ORACLES.items()}
 
 
 # --- adapted tables ----------------------------------------------------------------------------
@@ -818,6 +822,21 @@ FROM stored o FULL OUTER JOIN arriving n ON n.match_id = o.match_id
 UNION ALL
 SELECT match_id, league_id, season, date, nullif(home_id, 24), nullif(away_id, 24), home_goals, away_goals, home_xg, away_xg, true
 FROM second_source WHERE home_id = 24 OR away_id = 24""")
+oracle("l1_reconciled_ingest", """
+WITH stored AS (SELECT * FROM contests WHERE status = 'finished' AND match_id % 40 <> 3),
+checked AS (SELECT n.*, CASE WHEN n.home_id = 24 OR n.away_id = 24 THEN 'unknown name' WHEN o.match_id IS NULL THEN 'missing'
+    WHEN o.home_goals <> n.home_goals OR o.away_goals <> n.away_goals THEN 'score' WHEN abs(n.date - o.date) > 1 THEN 'date' END AS violation
+  FROM second_source n LEFT JOIN stored o ON o.match_id = n.match_id)
+SELECT o.match_id, o.league_id, o.season, o.date, o.home_id, o.away_id, o.home_goals, o.away_goals, n.home_xg, n.away_xg, NULL AS violation
+FROM stored o LEFT JOIN checked n ON n.match_id = o.match_id AND n.violation IS NULL
+UNION ALL
+SELECT match_id, league_id, season, date, nullif(home_id, 24), nullif(away_id, 24), home_goals, away_goals, home_xg, away_xg, violation
+FROM checked WHERE violation IS NOT NULL""")
+oracle("l1_feature_refresh", ORACLES["h23_feature_set"])
+_CHANGED["l1_feature_refresh"] = {"contests": f"""
+SELECT * REPLACE (home_goals + CASE WHEN match_id % 97 = 0 THEN 1 ELSE 0 END AS home_goals,
+                  CASE WHEN match_id % 89 = 0 THEN date + 3 ELSE date END AS date)
+FROM ({_CTES["contests"]})"""}
 oracle("l2_incremental_ratings", """
 SELECT match_id, round(rating_own_home, 6) AS rating_own_home, round(rating_own_away, 6) AS rating_own_away,
        round(rating_own_home_post, 6) AS rating_own_home_post, round(rating_own_away_post, 6) AS rating_own_away_post FROM own_ratings""")
