@@ -22,9 +22,10 @@ HIDDEN = 8
 SPAN = 96
 WINDOWS = 4096
 # Training sample: documents of each language at most (least hashes), characters taken from the middle
-# of each, windows in a step, steps, and the step size.
+# of each; values of lang at most; windows in a step, steps, and the step size.
 SAMPLE = 200
 SAMPLE_CHARS = 1_500
+MOST_LANGUAGES = 1_000
 BATCH = 256
 STEPS = 220
 RATE = 0.02
@@ -153,16 +154,20 @@ def held_out() -> Column:
 def sample(documents: DataFrame, most: int = SAMPLE) -> tuple[list[str], list[str]]:
     """Text middles and languages of at most `most` documents a language, those of least hash.
 
-    Counts give each language a limit that about twice as many hashes pass, so the ranking behind it
-    sees few rows, however many tasks read the table.
+    Counts give each language a limit that about twice as many hashes pass, so the ranking behind it sees
+    few rows, however many tasks read the table. The limits go to the texts, a row a language, so only the
+    middles of the passing texts are shuffled. More than MOST_LANGUAGES values of lang raise a ValueError: the
+    network has an output for each.
     """
-    size = F.length("text")
-    rows = documents.filter(~held_out() & F.col("lang").isNotNull() & (size > 0)).withColumn(
-        "h", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
+    rows = documents.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0)).select(
+        "lang", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)).alias("h"), "text"
     )
-    counts = rows.groupBy(F.col("lang").alias("own")).agg(F.approx_count_distinct("h").alias("n"))
-    limits = counts.select("own", (F.lit(2.0 * most * (1 << 40)) / F.col("n")).alias("limit"))
-    near = rows.join(limits, (F.col("lang") == F.col("own")) & (F.col("h") < F.col("limit"))).select(
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    limits = documents.sparkSession.createDataFrame([(r["lang"], 2.0 * most * (1 << 40) / r["n"]) for r in counts], "lang string, limit double")
+    passing = rows.join(F.broadcast(limits), "lang").filter(F.col("h") < F.col("limit"))
+    near = passing.select(
         "lang", "h",
         F.expr(f"substring(text, greatest(1, int(length(text) / 2) - {SAMPLE_CHARS // 2}), {SAMPLE_CHARS})").alias("part"),
     ).distinct()
