@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from contestry.functions.bounded import scratch_dir
+from contestry.operators import ratings
 from contestry.operators.ratings import RATINGS, own_ratings
 from contestry.settings import RatingSettings
 from contestry.streaming.ratings import RatingTables
@@ -67,3 +69,25 @@ def test_out_of_order_batches_equal_the_batch_job(spark, seed):
     state.apply(spark.createDataFrame(fixed, SCHEMA), CFG, tag="batch9")
     now = fixed + [x for x in rows if x[1] not in (fixed[0][1], fixed[1][1])]
     assert as_set(state.ratings.read()) == as_set(own_ratings(spark.createDataFrame(now, SCHEMA), CFG))
+
+
+@pytest.mark.parametrize("ends", [False, True])
+def test_a_task_holds_no_more_than_one_batch_of_a_block(ends):
+    pulled = []
+
+    def batches():
+        for k in range(50):
+            pulled.append(k)
+            one = {"league_id": k // 25, "block": 0, "contest": True, "match_id": k, "home_id": 1, "away_id": 2, "home_goals": 1, "away_goals": 0, "rating": None}
+            yield pa.RecordBatch.from_pylist([one])
+
+    first = next(ratings.chained(batches(), CFG, ends))
+    assert first.num_rows == (2 if ends else 1) and len(pulled) == (26 if ends else 1)
+
+
+def test_days_without_date_come_last_and_block_starts_first(spark):
+    rows = [(1, 1, None, 3, 4, 2, 0), (1, 2, date(2020, 1, 1), 3, 4, 0, 1), (1, 3, date(2020, 1, 2), 3, 4, None, None)]
+    start = spark.createDataFrame([(1, 3, 1700.0), (2, 3, 9.0)], "league_id long, team_id int, rating double")
+    got = {r["match_id"]: r for r in own_ratings(spark.createDataFrame(rows, SCHEMA), CFG, start=start).collect()}
+    assert got[2]["rating_own_home"] == 1700.0 and got[2]["rating_own_away"] == CFG.initial
+    assert got[3]["rating_own_home"] == got[2]["rating_own_home_post"] == got[1]["rating_own_home"] and got[3]["rating_own_home_post"] is None
