@@ -246,7 +246,7 @@ def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFra
     spark = links.sparkSession
     edges = links.select(F.least(first, second).alias("a"), F.greatest(first, second).alias("b")).filter("a <> b").distinct()
     edges, path = written(edges)
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = edges.select(F.col("a").alias("node")).distinct().union(edges.select("b").distinct()).distinct()
     labels, label_path = written(nodes.select("node", F.col("node").alias("root")))
     while not edges.isEmpty():
         hook = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
