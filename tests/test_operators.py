@@ -216,6 +216,27 @@ def test_scenarios_keep_invariants(spark):
     assert share == pytest.approx(0.5, abs=0.08)
 
 
+def test_scenarios_of_one_league_are_dealt_to_all_tasks(spark):
+    """One league and one chunk of scenarios: the draws of its contests are not one task's work."""
+    table = spark.range(400).selectExpr(
+        "0L as league_id", "'s' as season", "id as match_id", "id % 5 as home_id", "(id + 1) % 5 as away_id", "0.5D as p_home", "0.3D as p_draw", "0.2D as p_away",
+        "array(0.6D, 0.4D, 0D, 0D, 0D, 0D, 0D, 0D, 0D, 0D) as home_margin", "array(1D, 0D, 0D, 0D, 0D, 0D, 0D, 0D, 0D, 0D) as away_margin",
+    )
+    table = scenarios.remaining_table(table)
+    drawn = scenarios.scenario_draws(table, 20, tasks=4)
+    by_task = [r["count"] for r in drawn.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 8000 and len(by_task) == 4 and max(by_task) < 4000
+    played = spark.createDataFrame([], "league_id long, season string, home_id long, away_id long, home_goals int, away_goals int")
+    teams = spark.range(6).selectExpr("0L as league_id", "'s' as season", "id as team_id")
+    sums = scenarios.scenario_tables(table, played, teams, 20, tasks=4)
+    by_hand = {(s, t): [0, 0] for s in range(20) for t in range(6)}
+    for r in drawn.collect():
+        home, away = by_hand[r["sim"], r["home_id"]], by_hand[r["sim"], r["away_id"]]
+        points = {"H": (3, 0), "D": (1, 1), "A": (0, 3)}[r["outcome"]]
+        home[0], away[0], home[1], away[1] = home[0] + points[0], away[0] + points[1], home[1] + r["goal_diff"], away[1] - r["goal_diff"]
+    assert {(r["sim"], r["team_id"]): [r["points"], r["goal_diff"]] for r in sums.collect()} == by_hand
+
+
 def test_stacking_is_never_worse_than_a_component(spark):
     rng = random.Random(9)
     rows = []
