@@ -154,6 +154,31 @@ def test_quality_limit_is_a_quantile_of_trusted_documents(spark, monkeypatch):
     assert [d for d, kept in got.items() if not kept] == [99, 200, 310] and len(got) == len(rows)
 
 
+def test_quality_blocks_meet_their_grams_one_at_a_time(spark, odd, monkeypatch):
+    trusted = labels(spark, [(1, 1, 0), (2, 1, 1)])
+    columns = ["doc_id", "lang", "calibration", "n_bytes", "bits"]
+    whole = sorted(map(str, perplexity.rated(odd, trusted).select(columns).collect()))
+    sent = []
+    types, scored = perplexity.types, perplexity.scored
+
+    def sized(packed):
+        sent.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return types(packed)
+
+    def unheld(packed, slices):
+        out = scored(packed, slices)
+        sent.append("collect_list" in out._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(perplexity, "types", sized)
+    monkeypatch.setattr(perplexity, "scored", unheld)
+    monkeypatch.setattr(perplexity, "BLOCK_BYTES", 64)
+    monkeypatch.setattr(perplexity.blocks, "__defaults__", (64,))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(str, perplexity.rated(odd, trusted).select(columns).collect())) == whole
+    assert sent == ["1", False] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_benchmark_templates(spark):
     item = "Anna sold 12 kg of apples to the old baker near the river and then walked home again with 12 coins"
     docs = [
